@@ -179,7 +179,7 @@ VERDICT = """CASE metric
 # or the last listed wins and stays NULL.
 FEED = """
 f AS (SELECT event_id, ts, user_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k,
-             CAST(floor(value / 20) AS INTEGER) AS nba, date_trunc('hour', ts) AS run FROM events),
+             CAST(floor(value / 20) AS INTEGER) AS nba, date_trunc('day', ts) AS run FROM events),
 first_wins AS (
   SELECT event_id AS station_id, CAST(user_id AS VARCHAR) AS "stationCode",
          nba AS num_bikes_available, 20 - nba AS num_docks_available,
@@ -230,7 +230,8 @@ ORACLE = {
     "worst_holes_top5": _with(*_GRID) + HOLES,
     "target_cells": _with(*_GRID) + f"SELECT {_PAIR_COLUMNS} FROM target",
     "target_pairs": _with(*_GRID) + f"SELECT {_PAIR_COLUMNS} FROM pairs",
-    "target_pairs_25min": _with(STATUS, _grid(25)) + f"SELECT {_PAIR_COLUMNS} FROM pairs",
+    "grid_fill_45min": _with(STATUS, _grid(45), FILL) + "SELECT * FROM fill",
+    "target_pairs_45min": _with(STATUS, _grid(45)) + f"SELECT {_PAIR_COLUMNS} FROM pairs",
     "mae_overall": _with(*_GRID) + "SELECT round(avg(abs(n_bikes - y)), 3) AS mae FROM pairs",
     "mae_by_slot": _with(*_GRID, _by_slot()) + "SELECT * FROM by_slot ORDER BY creneau",
     "mae_by_slot_fixed_offset": _with(*_GRID, _by_slot("extract('hour' FROM ts + INTERVAL 2 HOUR)"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import HOUR, bucket, floor_to, from_micros, micros
+from snapgrid.functions.time import DAY, bucket, floor_to, from_micros, micros
 
 # Fixed value: stations per envelope at most, so that no list grows with the data.
 LIST_SIZE = 500
@@ -55,7 +55,7 @@ def info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One station entry per event, with its nested type list and the hour of its run."""
+    """One station entry per event, with its nested type list and the day of its run."""
     count = F.floor(F.col("value") / 20).cast("int")
     kind = "struct<mechanical:int,ebike:int>"
 
@@ -73,7 +73,7 @@ def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events").withColumn("k", _k()).withColumn("nba", count)
         .select(
-            from_micros(floor_to(micros("ts"), HOUR)).alias("run"), "event_id",
+            from_micros(floor_to(micros("ts"), DAY)).alias("run"), "event_id",
             F.struct(
                 F.col("event_id").alias("station_id"), F.col("user_id").cast("string").alias("stationCode"),
                 nba.alias("num_bikes_available"), (20 - nba).alias("num_docks_available"),
@@ -87,13 +87,13 @@ def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed envelopes: run stamp and ``data.stations`` with at most LIST_SIZE entries each."""
+    """Feed envelopes: date and stamp of the run, and ``data.stations`` with at most LIST_SIZE entries each."""
     stamp = F.date_format("run", "yyyyMMdd'T'HHmmss'Z'").alias("stamp")
     return (
         feed_rows(spark, sf_dir)
         .groupBy(stamp, F.floor(F.col("event_id") / LIST_SIZE).alias("part"))
         .agg(F.collect_list("station").alias("stations"), F.max("station.last_reported").alias("newest"))
-        .select("stamp", F.col("newest").alias("last_updated"),
+        .select(F.to_date("stamp", "yyyyMMdd'T'HHmmss'Z'").alias("date"), "stamp", F.col("newest").alias("last_updated"),
                 F.when(F.col("part") % 2 == 0, F.col("newest")).otherwise(F.lit(0)).alias("lastUpdatedOther"),
                 F.struct("stations").alias("data"))
     )

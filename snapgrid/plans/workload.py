@@ -44,9 +44,10 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landing(spark: SparkSession, sf_dir: str) -> str:
-    """Envelopes written as JSON lines, one folder per run stamp."""
+    """Envelopes written as JSON lines below ``status``, in a folder per date and run stamp."""
     root = scratch_dir(spark, "landing")
-    standin.envelopes(configure(spark), sf_dir).hint("rebalance", "stamp").write.partitionBy("stamp").json(root)
+    (standin.envelopes(configure(spark), sf_dir).hint("rebalance", "stamp")
+     .write.partitionBy("date", "stamp").json(f"{root}/status"))
     return root
 
 
@@ -100,9 +101,10 @@ def _conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = standin.table(configure(spark), sf_dir, "events")
     root = scratch_dir(spark, "formats")
-    events.write.option("header", True).csv(f"{root}/csv")
-    events.write.json(f"{root}/ndjson")
-    events.write.option("compression", "gzip").json(f"{root}/gz")
+    text = events.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text.option("header", True).csv(f"{root}/csv")
+    text.json(f"{root}/ndjson")
+    text.option("compression", "gzip").json(f"{root}/gz")
     events.write.parquet(f"{root}/parquet")
     folders = {".csv": "csv", ".ndjson": "ndjson", ".gz": "gz", ".parquet": "parquet"}
     parts = [read_snapshots(spark, f"{root}/{folder}", ext, schema=events.schema, multiline=False)
@@ -122,7 +124,9 @@ def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover(configure(spark), _landing(spark, sf_dir))
+    root = _landing(spark, sf_dir)
+    standin.info(spark, sf_dir).write.parquet(f"{root}/information")
+    return discover(spark, root)
 
 
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +155,8 @@ QUERIES: dict[str, Query] = {
     "worst_holes_top5": _on_status(timegrid.worst_holes),
     "target_cells": _on_status(baseline.target),
     "target_pairs": _on_status(baseline.target_pairs),
-    "target_pairs_25min": _on_status(lambda s: baseline.target_pairs(s, 25)),
+    "grid_fill_45min": _on_status(lambda s: timegrid.fill_rate(s, 45)),
+    "target_pairs_45min": _on_status(lambda s: baseline.target_pairs(s, 45)),
     "mae_overall": _on_status(lambda s: baseline.persistence_mae(baseline.target_pairs(s))),
     "mae_by_slot": _on_status(lambda s: baseline.persistence_mae_by_slot(baseline.target_pairs(s))),
     "mae_by_slot_fixed_offset": _on_status(

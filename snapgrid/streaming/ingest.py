@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from snapgrid.operators.envelope import flat_status
-from snapgrid.schema import ENVELOPE
+from snapgrid.schema import ENVELOPE, STATUS
 
 KEY = ["station_id", "fetched_at"]
 
@@ -35,13 +34,8 @@ def _append_new(dest: str, batch: DataFrame, batch_id: int) -> None:
     batch = batch.persist()
     try:
         dates = [row["date"] for row in batch.select("date").distinct().collect()]  # bounded by the calendar
-        rows = batch.dropDuplicates(KEY)
-        try:
-            stored = spark.read.parquet(dest)
-        except AnalysisException:  # nothing written yet
-            stored = None
-        if stored is not None:
-            rows = rows.join(stored.where(F.col("date").isin(dates)).select(*KEY), KEY, "left_anti")
+        held = spark.read.schema(STATUS).parquet(dest).where(F.col("date").isin(dates)).select(*KEY)
+        rows = batch.dropDuplicates(KEY).join(held, KEY, "left_anti")
         rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(dest)
     finally:
         batch.unpersist()
@@ -60,6 +54,8 @@ def ingest_stream(spark: SparkSession, landing: str, dest: str, checkpoint: str,
     """
     rows = read_landing(spark, landing, schema, multiline=multiline, max_files=max_files)
     if watermark is None:
+        # an empty append makes the folder, so that the first batch can look into it
+        spark.createDataFrame([], STATUS).write.mode("append").partitionBy("date").parquet(dest)
         return (rows.writeStream.foreachBatch(partial(_append_new, dest))
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     # event time must be an instant; the wall clock stays in fetched_at
