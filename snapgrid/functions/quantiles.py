@@ -23,14 +23,13 @@ def frequencies(df: DataFrame, value: Column) -> DataFrame:
     return df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
 
 
-def _locate(totals: DataFrame, targets: DataFrame, parent: str, part: str) -> DataFrame:
-    """Move each target's rank into the part of its parent that holds it."""
-    running = Window.partitionBy(parent).orderBy(part)
-    placed = totals.withColumn("upto", F.sum("n").over(running))
+def _narrow(counts: DataFrame, part: str) -> DataFrame:
+    """Keep, for each wanted rank, the part that holds it, and make the rank relative to it."""
+    running = Window.partitionBy("q", "side").orderBy(part)
     return (
-        placed.join(F.broadcast(targets), parent)
+        counts.withColumn("upto", F.sum("n").over(running))
         .where("rank >= upto - n AND rank < upto")
-        .select("q", "share", part, (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+        .select("q", "side", "share", part, (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
     )
 
 
@@ -40,32 +39,35 @@ def exact_quantiles(freq: DataFrame, qs: Sequence[float], coarse: int = DAY, fin
     ``coarse`` and ``fine`` are slice widths in the value's unit.  The only
     unpartitioned window runs over one row per coarse slice, a number set by
     the span of the values and not by how many there are; the other windows
-    hold at most ``coarse / fine`` and ``fine`` rows.  Broadcast target lists
-    have at most two rows per quantile.
+    hold at most ``coarse / fine`` and ``fine`` rows per wanted rank.  The
+    broadcast lists have two rows per quantile: the ranks around it.
     """
     parts = freq.select("v", "n", floor_to("v", coarse).alias("c"), floor_to("v", fine).alias("f"))
 
-    whole = Window.orderBy("c")
-    position = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("q")) * (F.col("total") - 1)
-    side = F.explode(F.array(F.floor("position"), F.ceil("position")))
-    level = (
+    so_far = Window.orderBy("c")
+    whole = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    position = F.col("quantile") * (F.col("total") - 1)
+    ranks = F.posexplode(F.array(F.floor(position), F.ceil(position))).alias("side", "rank")
+    in_coarse = (
         parts.groupBy("c").agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(whole))
-        .withColumn("total", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(len(qs)))))
-        .withColumn("position", position)
-        .withColumn("share", F.col("position") - F.floor("position"))
-        .withColumn("rank", side)
+        .select("c", "n", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(whole).alias("total"))
+        .select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("q", "quantile"))
+        .select("*", (position - F.floor(position)).alias("share"), ranks)
         .where("rank >= upto - n AND rank < upto")
-        .select("q", "share", "c", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+        .select("q", "side", "share", "c", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
     )
+    in_fine = _narrow(
+        parts.join(F.broadcast(in_coarse), "c")
+        .groupBy("q", "side", "share", "rank", "f").agg(F.sum("n").alias("n")), "f")
+    found = _narrow(
+        parts.join(F.broadcast(in_fine), "f").select("q", "side", "share", "rank", "v", "n"), "v")
 
-    in_coarse = parts.join(F.broadcast(level.select("c").distinct()), "c", "left_semi")
-    level = _locate(in_coarse.groupBy("c", "f").agg(F.sum("n").alias("n")), level, "c", "f")
+    def value(q: int, side: int):
+        return F.max(F.when((F.col("q") == q) & (F.col("side") == side), F.col("v"))).cast("double")
 
-    in_fine = parts.join(F.broadcast(level.select("f").distinct()), "f", "left_semi")
-    found = _locate(in_fine.select("f", "v", "n"), level, "f", "v")
+    def share(q: int):
+        return F.max(F.when(F.col("q") == q, F.col("share")))
 
-    low, high = F.min("v").cast("double"), F.max("v").cast("double")
-    each = found.groupBy("q").agg((low + (high - low) * F.max("share")).alias("at"))
-    return each.agg(F.array(*[F.max(F.when(F.col("q") == i + 1, F.col("at"))) for i in range(len(qs))]).alias("q"))
+    return found.agg(F.array(*[
+        value(i, 0) + (value(i, 1) - value(i, 0)) * share(i) for i in range(len(qs))
+    ]).alias("q"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snapgrid.functions.numbers import round_to
 from snapgrid.functions.time import MINUTE, local_hour, micros
 from snapgrid.operators.latest import latest_per_bucket
-from snapgrid.operators.timegrid import grid, on_grid
+from snapgrid.operators.timegrid import fill_cells, observed_buckets, on_grid
 
 # Local-time slots as (first hour, last hour, label); later hours get the last label.
 SLOTS = [
@@ -31,13 +31,18 @@ def target(status: DataFrame, step_min: int = 15, horizon_min: int = 60, tz: str
     """Every grid cell with the value one horizon later and its local hour.
 
     The last cells of a station have no later one: ``y`` and ``y_imputed`` are NULL.
+    Each observation also stands, as ``y``, on the cell one horizon before it,
+    so the later value is in place before the empty cells are filled in.
     """
     ahead = horizon_cells(step_min, horizon_min)
-    per_station = Window.partitionBy("station_id").orderBy("ts")
-    return grid(status, step_min, value).select(
-        "station_id", "ts", "n_bikes", "is_imputed",
-        F.lead("n_bikes", ahead).over(per_station).alias("y"),
-        F.lead("is_imputed", ahead).over(per_station).alias("y_imputed"),
+    held = observed_buckets(status, step_min, value)
+    later = held.where("n_bikes IS NOT NULL").select(
+        "station_id", "t0", "n_steps", (F.col("cell") - ahead).alias("cell"),
+        F.lit(None).cast(held.schema["n_bikes"].dataType).alias("n_bikes"), F.col("n_bikes").alias("y"))
+    both = held.withColumn("y", F.lit(None).cast(held.schema["n_bikes"].dataType)).unionByName(later)
+    return fill_cells(both, step_min, ["n_bikes", "y"]).select(
+        "station_id", "ts", "n_bikes", F.col("n_bikes").isNull().alias("is_imputed"), "y",
+        F.when(F.col("cell") + ahead < F.col("n_steps"), F.col("y").isNull()).alias("y_imputed"),
         local_hour("ts", tz).alias("h_paris"),
     )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.time import MINUTE, micros
 from snapgrid.operators.baseline import horizon_cells, target
+from snapgrid.operators.timegrid import grid_bounds
 
 
 def duplicate_keys(status: DataFrame) -> DataFrame:
@@ -27,21 +28,22 @@ def grid_violations(status: DataFrame, step_min: int = 15, horizon_min: int = 60
                     value: str = "num_bikes_available") -> DataFrame:
     """One row ``(grid_hole, late_target)`` counted over the target table.
 
-    A hole is a step between two cells of a station other than ``step_min``; a
-    late target is a ``y`` within the horizon of the station's last cell.
+    A hole is a step of the grid that a station lacks; a late target is a ``y``
+    within the horizon of the grid's end.
     """
-    per_station = Window.partitionBy("station_id").orderBy("us")
-    whole = Window.partitionBy("station_id")
-    reach = horizon_cells(step_min, horizon_min) * step_min * MINUTE
-    cells = (
-        target(status, step_min, horizon_min, value=value)
-        .select("station_id", "y", micros("ts").alias("us"))
-        .withColumn("gap", F.col("us") - F.lag("us").over(per_station))
-        .withColumn("end", F.max("us").over(whole))
+    width = step_min * MINUTE
+    end = F.col("t0") + F.col("n_steps") * width
+    reach = horizon_cells(step_min, horizon_min) * width
+    per_station = (
+        target(status, step_min, horizon_min, value=value).select("station_id", "y", micros("ts").alias("us"))
+        .crossJoin(F.broadcast(grid_bounds(status, step_min)))
+        .groupBy("station_id", "n_steps").agg(
+            F.count("*").alias("cells"),
+            F.count_if((F.col("us") >= end - reach) & F.col("y").isNotNull()).alias("late"))
     )
-    return cells.agg(
-        F.count_if(F.col("gap") != step_min * MINUTE).alias("grid_hole"),
-        F.count_if((F.col("us") > F.col("end") - reach) & F.col("y").isNotNull()).alias("late_target"),
+    return per_station.agg(
+        F.coalesce(F.sum(F.abs(F.col("n_steps") - F.col("cells"))), F.lit(0)).alias("grid_hole"),
+        F.coalesce(F.sum("late"), F.lit(0)).alias("late_target"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +45,61 @@ def on_grid(cells: DataFrame, status: DataFrame, step_min: int) -> DataFrame:
     )
 
 
-def grid(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
-    """``(station_id, ts, n_bikes, is_imputed)``: every station at every step of the history.
+def observed_buckets(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
+    """Latest observation per bucket with its place on the grid.
 
-    An empty cell, or one whose last observation has a NULL value, is imputed.
-    Neither a scaffold nor a join is built: each observed bucket emits its own
-    cell and the empty ones up to the station's next bucket, after one window
-    over at most one row per step.
+    ``cell`` is the first grid cell at or after the bucket; ``n_bikes`` is kept
+    only if the bucket is that cell.  ``t0`` and ``n_steps`` describe the grid.
     """
     width = F.lit(step_min * MINUTE)
-    per_station = Window.partitionBy("station_id").orderBy("ts")
-    offset = F.col("us") - F.col("t0")
-    observed = (
+    offset = micros("ts") - F.col("t0")
+    rest = F.pmod(offset, width)
+    cell = ((offset - rest) / width).cast("bigint") + F.when(rest == 0, 0).otherwise(1)
+    return (
         latest_per_bucket(status, step_min, value)
         .crossJoin(F.broadcast(grid_bounds(status, step_min)))
-        .withColumn("us", micros("ts"))
-        .withColumn("rest", F.pmod(offset, width))
-        .withColumn("whole", ((offset - F.col("rest")) / width).cast("bigint"))
-        .withColumn("own", F.when(F.col("rest") == 0, F.col("whole")))
-        .withColumn("reach", F.greatest(F.lit(0), F.col("whole") + F.when(F.col("rest") == 0, 0).otherwise(1)))
-        .withColumn("low", F.when(F.lag("ts").over(per_station).isNull(), F.lit(0)).otherwise(F.col("reach")))
-        .withColumn("high", F.least(F.coalesce(F.lead("reach").over(per_station), F.col("n_steps")), F.col("n_steps")))
-        .where("low < high")
+        .select("station_id", "t0", "n_steps", cell.alias("cell"),
+                F.when(rest == 0, F.col("n_bikes")).alias("n_bikes"))
     )
-    cell = F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("cell")
-    bikes = F.when(F.col("cell") == F.col("own"), F.col("n_bikes")).alias("n_bikes")
+
+
+def fill_cells(observed: DataFrame, step_min: int, values: Sequence[str]) -> DataFrame:
+    """``(station_id, ts, cell, n_steps, *values)`` for every cell of every station.
+
+    ``observed`` has ``(station_id, t0, n_steps, cell, *values)``.  Each of its
+    cells emits itself and the empty cells up to the station's next one, so
+    neither a scaffold nor a join is built; the first one also emits the empty
+    cells before it.  Rows on the same cell are merged.  The window sees at
+    most a few rows per station and step.
+    """
+    per_station = Window.partitionBy("station_id").orderBy("cell")
+    same_cell = per_station.rangeBetween(0, 0)
+    first = F.lag("cell").over(per_station).isNull()
+    following = F.coalesce(F.lead("cell").over(per_station), F.col("n_steps"))
+    spans = observed.select(
+        "station_id", "t0", "n_steps", F.col("cell").alias("own"),
+        F.when(first, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("cell"))).alias("low"),
+        F.least(following, F.col("n_steps")).alias("high"),
+        *[F.max(v).over(same_cell).alias(v) for v in values],
+    ).where("low < high")
+    width = F.lit(step_min * MINUTE)
     return (
-        observed.select("station_id", "t0", "own", "n_bikes", cell)
-        .select("station_id", from_micros(F.col("t0") + F.col("cell") * width).alias("ts"), bikes)
-        .withColumn("is_imputed", F.col("n_bikes").isNull())
+        spans.select("station_id", "t0", "n_steps", "own", *values,
+                     F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("cell"))
+        .select("station_id", from_micros(F.col("t0") + F.col("cell") * width).alias("ts"), "cell", "n_steps",
+                *[F.when(F.col("cell") == F.col("own"), F.col(v)).alias(v) for v in values])
     )
 
 
+def grid(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
+    """``(station_id, ts, n_bikes, is_imputed)``: every station at every step of the history.
+
+    An empty cell, or one whose last observation has a NULL value, is imputed.
+    """
+    cells = fill_cells(observed_buckets(status, step_min, value), step_min, ["n_bikes"])
+    return cells.select("station_id", "ts", "n_bikes", F.col("n_bikes").isNull().alias("is_imputed"))
+
+
 def observed_cells(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
     """Per station the number of grid cells that hold a value; stations without one get 0."""
     held = latest_per_bucket(status, step_min, value)
