@@ -1,7 +1,8 @@
 """Time arithmetic on UTC wall-clock TIMESTAMP_NTZ columns.
 
 Everything works on NTZ values or on microseconds since 1970, so no result
-depends on the session time zone.
+depends on the session time zone.  Turning a timestamp into microseconds costs
+more than comparing or bucketing it, so operators do that after reducing.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def micros(ts: Column | str) -> Column:
 
 def from_micros(us: Column | str) -> Column:
     """NTZ timestamp of a microsecond count; inverse of :func:`micros`."""
-    return F.timestamp_add("MICROSECOND", _col(us), F.expr(_EPOCH))
+    return F.expr(_EPOCH) + F.expr("INTERVAL '0.000001' SECOND") * _col(us)
 
 
 def seconds(us: Column | str) -> Column:
@@ -51,25 +52,29 @@ def floor_to(us: Column | str, width: int, origin: int = 0) -> Column:
     return us - F.pmod(us - F.lit(origin), F.lit(width))
 
 
-def bucket_micros(us: Column | str, step_min: int) -> Column:
-    """Start of the ``step_min`` bucket holding ``us``."""
-    return floor_to(us, step_min * MINUTE, BUCKET_ORIGIN)
+def bucket(ts: Column | str, step_min: int) -> Column:
+    """Start of the ``step_min`` bucket holding the NTZ timestamp ``ts``.
+
+    The built-in time window is the cheapest form, and like all of Spark a
+    query may use only one of them per projection.
+    """
+    shift = BUCKET_ORIGIN // MINUTE % step_min
+    return F.window(_col(ts), f"{step_min} minutes", startTime=f"{shift} minutes").start
 
 
-def bucket(ts: Column | str, step_min: int) -> Column:
-    """Start of the ``step_min`` bucket holding the NTZ timestamp ``ts``."""
-    return from_micros(bucket_micros(micros(ts), step_min))
+def hour_number(ts: Column | str) -> Column:
+    """Hours since 1970 of an NTZ timestamp, from cheap calendar fields."""
+    return F.unix_date(F.to_date(_col(ts))).cast("bigint") * 24 + F.hour(_col(ts))
 
 
-def local_hour(ts: Column | str, tz: str = "Europe/Paris") -> Column:
-    """Hour of day in ``tz`` of a UTC wall-clock timestamp.
+def local_hour(us: Column | str, tz: str = "Europe/Paris") -> Column:
+    """Hour of day in ``tz`` at a UTC instant given in microseconds since 1970.
 
     ``tz`` is an IANA zone (daylight saving applied) or ``"fixed+N"`` for a
     constant offset of N hours.
     """
     if tz.startswith("fixed"):
-        hours = int(tz[len("fixed"):])
-        local = F.timestamp_add("HOUR", F.lit(hours), _col(ts))
+        local = _col(us) + int(tz[len("fixed"):]) * HOUR
     else:
-        local = F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts))
-    return F.hour(local).cast("bigint")
+        local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(_col(us)), tz))
+    return F.floor(F.pmod(local, F.lit(DAY)) / HOUR)

@@ -43,7 +43,7 @@ def target(status: DataFrame, step_min: int = 15, horizon_min: int = 60, tz: str
     return fill_cells(both, step_min, ["n_bikes", "y"]).select(
         "station_id", "ts", "n_bikes", F.col("n_bikes").isNull().alias("is_imputed"), "y",
         F.when(F.col("cell") + ahead < F.col("n_steps"), F.col("y").isNull()).alias("y_imputed"),
-        local_hour("ts", tz).alias("h_paris"),
+        local_hour("us", tz).alias("h_paris"),
     )
 
 
@@ -68,7 +68,7 @@ def target_pairs(status: DataFrame, step_min: int = 15, horizon_min: int = 60, t
         .withColumn("y", F.max("n_bikes").over(later))
         .where("y IS NOT NULL")
         .select("station_id", "ts", "n_bikes", F.lit(False).alias("is_imputed"),
-                "y", F.lit(False).alias("y_imputed"), local_hour("ts", tz).alias("h_paris"))
+                "y", F.lit(False).alias("y_imputed"), local_hour("us", tz).alias("h_paris"))
     )
 
 

@@ -52,7 +52,7 @@ def run_gaps(status: DataFrame) -> DataFrame:
     days (one row per day, the only unpartitioned window).  All three read the
     same shuffle of distinct instants.
     """
-    instants = status.where("fetched_at IS NOT NULL").select(micros("fetched_at").alias("t")).distinct()
+    instants = status.where("fetched_at IS NOT NULL").select("fetched_at").distinct().select(micros("fetched_at").alias("t"))
     minute = Window.partitionBy(floor_to("t", MINUTE)).orderBy("t")
     inner = instants.select("t", (F.col("t") - F.lag("t").over(minute)).alias("gap")).where("gap IS NOT NULL")
     between_minutes = _edge_gaps(instants, DAY, MINUTE).where("gap IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import percent, round_to
@@ -12,9 +12,9 @@ from snapgrid.functions.quantiles import exact_quantiles, frequencies
 from snapgrid.functions.time import HOUR, interval_micros
 
 
-def report_age():
-    """Microseconds between a station's own report and its collection."""
-    return interval_micros(F.col("fetched_at") - F.col("last_reported"))
+def report_age() -> Column:
+    """Interval between a station's own report and its collection."""
+    return F.col("fetched_at") - F.col("last_reported")
 
 
 def freshness(status: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99),
@@ -24,7 +24,7 @@ def freshness(status: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99),
     Rows without ``last_reported`` are left out; negative ages stay.
     ``accuracy`` switches the quantiles to ``approx_percentile``.
     """
-    freq = frequencies(status, report_age())
+    freq = frequencies(status, report_age()).select(interval_micros(F.col("v")).alias("v"), "n")
     total = F.sum("n")
     shares = [percent(F.sum(F.when(F.col("v") > h * HOUR, F.col("n")).otherwise(0)), total, 2).alias(f"pct_sup_{h}h")
               for h in limits_h]
@@ -32,7 +32,7 @@ def freshness(status: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99),
     if accuracy is None:
         ages = exact_quantiles(freq, qs)
     else:
-        ages = (status.select(report_age().alias("v"))
+        ages = (status.select(interval_micros(report_age()).alias("v"))
                 .agg(F.percentile_approx("v", list(qs), accuracy).cast("array<double>").alias("q")))
     seconds = [F.get("q", F.lit(i)) / 1e6 for i in range(3)]
     return ages.crossJoin(F.broadcast(summary)).select(

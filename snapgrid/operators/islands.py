@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import HOUR, MINUTE, floor_to, from_micros, micros
+from snapgrid.functions.time import floor_to, hour_number, interval_micros, seconds
 from snapgrid.operators.freshness import report_age
 
 
-def _slice_islands(status: DataFrame, value: str, width: int) -> DataFrame:
+def _hours(interval: Column) -> Column:
+    return seconds(interval_micros(interval)) / 3600.0
+
+
+def _slice_islands(status: DataFrame, value: str, slice_hours: int) -> DataFrame:
     """Islands inside each (station, time slice), flagged when they touch its ends."""
     observations = (
         status.where(F.col(value).isNotNull() & F.col("fetched_at").isNotNull())
-        .select("station_id", micros("fetched_at").alias("t"), F.col(value).alias("b"), report_age().alias("age"))
+        .select("station_id", F.col("fetched_at").alias("t"), F.col(value).alias("b"), report_age().alias("age"))
         # copies of an observation are combined before they reach a window
         .groupBy("station_id", "t", "b").agg(F.count("*").alias("n_obs"), F.max("age").alias("age"))
-        .withColumn("slice", floor_to("t", width))
+        .withColumn("slice", floor_to(hour_number("t"), slice_hours))
     )
     chain = Window.partitionBy("station_id", "slice").orderBy("t", "b")
     # rows at one instant are peers: they get the same running sum
@@ -38,7 +42,7 @@ def _slice_islands(status: DataFrame, value: str, width: int) -> DataFrame:
     )
 
 
-def islands(status: DataFrame, value: str = "num_bikes_available", slice_min: int = 60,
+def islands(status: DataFrame, value: str = "num_bikes_available", slice_hours: int = 1,
             min_hours: float | None = None) -> DataFrame:
     """One row per island: station_id, valeur, n_obs, debut, fin, duree_h, fraicheur_max_h.
 
@@ -49,10 +53,9 @@ def islands(status: DataFrame, value: str = "num_bikes_available", slice_min: in
     ``min_hours`` keeps islands at least that long; those strictly inside a
     shorter slice are then dropped before the second shuffle.
     """
-    width = slice_min * MINUTE
-    local = _slice_islands(status, value, width)
+    local = _slice_islands(status, value, slice_hours)
     touching = F.col("opens") | F.col("closes")
-    if min_hours is not None and width <= min_hours * HOUR:
+    if min_hours is not None and slice_hours <= min_hours:
         local = local.where(touching)
 
     # Inner islands stay in a group of their own slice, the others meet per station.
@@ -69,20 +72,20 @@ def islands(status: DataFrame, value: str = "num_bikes_available", slice_min: in
     )
     result = stitched.select(
         "station_id", F.col("first.b").alias("valeur"), "n_obs",
-        from_micros("first.t").alias("debut"), from_micros("last").alias("fin"),
-        ((F.col("last") - F.col("first.t")) / 1e6 / 3600.0).alias("duree_h"),
-        (F.col("age") / 1e6 / 3600.0).alias("fraicheur_max_h"),
+        F.col("first.t").alias("debut"), F.col("last").alias("fin"),
+        _hours(F.col("last") - F.col("first.t")).alias("duree_h"),
+        _hours(F.col("age")).alias("fraicheur_max_h"),
     )
     return result if min_hours is None else result.where(F.col("duree_h") >= float(min_hours))
 
 
 def frozen(status: DataFrame, value: str = "num_bikes_available", thresholds_h: Sequence[int] = (3, 6, 12, 24),
-           confirm_h: int = 6, slice_min: int = 60) -> DataFrame:
+           confirm_h: int = 6, slice_hours: int = 1) -> DataFrame:
     """Per threshold: islands at least that long, their stations, and how many have stale reports.
 
     Thresholds are cumulative; one that no island reaches gives no row.
     """
-    long_enough = islands(status, value, slice_min, min(thresholds_h))
+    long_enough = islands(status, value, slice_hours, min(thresholds_h))
     threshold = F.explode(F.array(*[F.lit(h) for h in thresholds_h])).alias("seuil_heures")
     return (
         long_enough.select("station_id", "duree_h", "fraicheur_max_h", threshold)

@@ -64,8 +64,9 @@ def observed_buckets(status: DataFrame, step_min: int = 15, value: str = "num_bi
 
 
 def fill_cells(observed: DataFrame, step_min: int, values: Sequence[str]) -> DataFrame:
-    """``(station_id, ts, cell, n_steps, *values)`` for every cell of every station.
+    """``(station_id, ts, us, cell, n_steps, *values)`` for every cell of every station.
 
+    ``us`` is ``ts`` in microseconds.
     ``observed`` has ``(station_id, t0, n_steps, cell, *values)``.  Each of its
     cells emits itself and the empty cells up to the station's next one, so
     neither a scaffold nor a join is built; the first one also emits the empty
@@ -83,10 +84,11 @@ def fill_cells(observed: DataFrame, step_min: int, values: Sequence[str]) -> Dat
         *[F.max(v).over(same_cell).alias(v) for v in values],
     ).where("low < high")
     width = F.lit(step_min * MINUTE)
+    start = F.col("t0") + F.col("cell") * width
     return (
         spans.select("station_id", "t0", "n_steps", "own", *values,
                      F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("cell"))
-        .select("station_id", from_micros(F.col("t0") + F.col("cell") * width).alias("ts"), "cell", "n_steps",
+        .select("station_id", from_micros(start).alias("ts"), start.alias("us"), "cell", "n_steps",
                 *[F.when(F.col("cell") == F.col("own"), F.col(v)).alias(v) for v in values])
     )
 
