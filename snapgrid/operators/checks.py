@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import MINUTE, micros
+from snapgrid.functions.time import MINUTE, from_micros
 from snapgrid.operators.baseline import horizon_cells, target
 from snapgrid.operators.timegrid import grid_bounds
 
@@ -32,14 +32,14 @@ def grid_violations(status: DataFrame, step_min: int = 15, horizon_min: int = 60
     within the horizon of the grid's end.
     """
     width = step_min * MINUTE
-    end = F.col("t0") + F.col("n_steps") * width
-    reach = horizon_cells(step_min, horizon_min) * width
+    open_from = F.col("t0") + (F.col("n_steps") - horizon_cells(step_min, horizon_min)) * width
+    bounds = grid_bounds(status, step_min).select("n_steps", from_micros(open_from).alias("open_from"))
     per_station = (
-        target(status, step_min, horizon_min, value=value).select("station_id", "y", micros("ts").alias("us"))
-        .crossJoin(F.broadcast(grid_bounds(status, step_min)))
+        target(status, step_min, horizon_min, value=value)
+        .crossJoin(F.broadcast(bounds))
         .groupBy("station_id", "n_steps").agg(
             F.count("*").alias("cells"),
-            F.count_if((F.col("us") >= end - reach) & F.col("y").isNotNull()).alias("late"))
+            F.count_if((F.col("ts") >= F.col("open_from")) & F.col("y").isNotNull()).alias("late"))
     )
     return per_station.agg(
         F.coalesce(F.sum(F.abs(F.col("n_steps") - F.col("cells"))), F.lit(0)).alias("grid_hole"),

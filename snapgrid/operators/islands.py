@@ -34,9 +34,9 @@ def _slice_islands(status: DataFrame, value: str, slice_hours: int) -> DataFrame
         .withColumn("closes", F.lead("b").over(chain).isNull())
         .withColumn("local", F.sum(F.when(F.col("b").eqNullSafe(F.col("before")), 0).otherwise(1)).over(peers))
     )
-    at = F.struct("t", "b")
     return marked.groupBy("station_id", "slice", "local").agg(
-        F.min(at).alias("first"), F.max(at).alias("last"),
+        F.min("t").alias("first"), F.max("t").alias("last"), F.min("b").alias("valeur"),
+        F.max(F.when(F.col("closes"), F.col("b"))).alias("last_b"),
         F.sum("n_obs").alias("n_obs"), F.max("age").alias("age"),
         F.bool_or("opens").alias("opens"), F.bool_or("closes").alias("closes"),
     )
@@ -59,21 +59,21 @@ def islands(status: DataFrame, value: str = "num_bikes_available", slice_hours:
         local = local.where(touching)
 
     # Inner islands stay in a group of their own slice, the others meet per station.
-    # An opening island continues the one before unless a tie already moved it on.
+    # An opening island continues the one before, unless a second value at its first
+    # instant already moved it on (local > 1); without one its value is constant.
     chain = Window.partitionBy("station_id", "inner_slice").orderBy("first")
-    continues = F.col("opens") & (F.col("local") == 1) & F.col("first.b").eqNullSafe(F.lag("last.b").over(chain))
+    continues = F.col("opens") & (F.col("local") == 1) & F.col("valeur").eqNullSafe(F.lag("last_b").over(chain))
     stitched = (
         local.withColumn("inner_slice", F.when(~touching, F.col("slice")))
         .withColumn("starts", F.when(continues, 0).otherwise(1))
         .withColumn("island", F.sum("starts").over(chain))
         .groupBy("station_id", "inner_slice", "island")
-        .agg(F.min("first").alias("first"), F.max("last.t").alias("last"),
+        .agg(F.min("first").alias("debut"), F.max("last").alias("fin"), F.min("valeur").alias("valeur"),
              F.sum("n_obs").alias("n_obs"), F.max("age").alias("age"))
     )
     result = stitched.select(
-        "station_id", F.col("first.b").alias("valeur"), "n_obs",
-        F.col("first.t").alias("debut"), F.col("last").alias("fin"),
-        _hours(F.col("last") - F.col("first.t")).alias("duree_h"),
+        "station_id", "valeur", "n_obs", "debut", "fin",
+        _hours(F.col("fin") - F.col("debut")).alias("duree_h"),
         _hours(F.col("age")).alias("fraicheur_max_h"),
     )
     return result if min_hours is None else result.where(F.col("duree_h") >= float(min_hours))

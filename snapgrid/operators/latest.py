@@ -26,15 +26,17 @@ def latest_reference(info: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     return latest_per_key(info, ["station_id"], "fetched_at", ties)
 
 
-def latest_per_bucket(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
+def latest_per_bucket(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available",
+                      tie_break: bool = False) -> DataFrame:
     """``(station_id, ts, n_bikes)``: last observation in each time bucket, NULL value included.
 
-    Of several rows at the same instant the greatest value counts.  The maximum
-    is combined map-side, so copies and hot buckets shrink before the shuffle.
+    A hash aggregation combined map-side, so copies and hot buckets shrink
+    before the shuffle.  Which of several different values at one instant
+    counts is open, unless ``tie_break`` takes the greatest; that sorts all
+    rows and takes about twice as long.
     """
-    newest = F.max(F.struct(F.col("fetched_at"), F.col(value).alias("n_bikes"))).alias("newest")
-    return (
-        status.where("fetched_at IS NOT NULL")
-        .groupBy("station_id", bucket("fetched_at", step_min).alias("ts")).agg(newest)
-        .select("station_id", "ts", "newest.n_bikes")
-    )
+    seen = status.where("fetched_at IS NOT NULL").select(
+        "station_id", bucket("fetched_at", step_min).alias("ts"), "fetched_at", F.col(value).alias("n_bikes"))
+    if tie_break:
+        return latest_per_key(seen, ["station_id", "ts"], "fetched_at", ["n_bikes"]).drop("fetched_at")
+    return seen.groupBy("station_id", "ts").agg(F.max_by("n_bikes", "fetched_at").alias("n_bikes"))
