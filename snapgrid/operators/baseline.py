@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.functions.numbers import round_to
+from snapgrid.functions.numbers import ratio, round_to
 from snapgrid.functions.time import MINUTE, local_hour, micros
 from snapgrid.operators.latest import latest_per_bucket
 from snapgrid.operators.timegrid import fill_cells, observed_buckets, on_grid
@@ -81,15 +81,30 @@ def slot(hour: Column, slots: Sequence[tuple[int, int, str]] = SLOTS, rest: str
     return chosen.otherwise(rest)
 
 
+def slot_errors(pairs: DataFrame) -> DataFrame:
+    """``(creneau, n, erreur)``: pairs and summed absolute error per local-time slot.
+
+    The error is that of "the value stays as it is"; a slot is the origin cell's.
+    """
+    return pairs.groupBy(slot(F.col("h_paris")).alias("creneau")).agg(
+        F.count("*").alias("n"), F.sum(F.abs(F.col("n_bikes") - F.col("y"))).alias("erreur"))
+
+
+def mae_of(errors: DataFrame) -> DataFrame:
+    """Mean absolute error over all slots, one row."""
+    return errors.agg(round_to(ratio(F.sum("erreur"), F.sum("n")), 3).alias("mae"))
+
+
+def mae_of_slots(errors: DataFrame) -> DataFrame:
+    """Mean absolute error of each slot."""
+    return errors.select("creneau", "n", round_to(ratio(F.col("erreur"), F.col("n")), 3).alias("mae"))
+
+
 def persistence_mae(pairs: DataFrame) -> DataFrame:
-    """Mean absolute error of "the value stays as it is", one row."""
-    return pairs.agg(round_to(F.avg(F.abs(F.col("n_bikes") - F.col("y"))), 3).alias("mae"))
+    """Mean absolute error of the persistence baseline, one row."""
+    return mae_of(slot_errors(pairs))
 
 
 def persistence_mae_by_slot(pairs: DataFrame) -> DataFrame:
-    """The same error per local-time slot of the origin cell."""
-    return (
-        pairs.groupBy(slot(F.col("h_paris")).alias("creneau"))
-        .agg(F.count("*").alias("n"), round_to(F.avg(F.abs(F.col("n_bikes") - F.col("y"))), 3).alias("mae"))
-        .orderBy("creneau")
-    )
+    """The same error per local-time slot."""
+    return mae_of_slots(slot_errors(pairs)).orderBy("creneau")

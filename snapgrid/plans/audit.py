@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import ratio
-from snapgrid.operators.baseline import persistence_mae, persistence_mae_by_slot, target_pairs
+from snapgrid.operators.baseline import mae_of, mae_of_slots, slot_errors, target_pairs
 from snapgrid.operators.consistency import COUNTS, consistency
 from snapgrid.operators.coverage import (cadence, cadence_summary, keys_amplitude, keys_gone, keys_per_day, volume)
 from snapgrid.operators.freshness import freshness
@@ -93,8 +93,8 @@ def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: in
     values = consistency(status, info, ties).withColumns(shares)
 
     agreement = frozen_agreement(frozen(status)).withColumnRenamed("n_stations", "n_stations_6h")
-    pairs = target_pairs(status, step_min, horizon_min, tz)
-    by_slot = persistence_mae_by_slot(pairs).select(
+    errors = slot_errors(target_pairs(status, step_min, horizon_min, tz))
+    by_slot = mae_of_slots(errors).select(
         F.lit("baseline").alias("section"), F.concat(F.lit("mae "), "creneau").alias("metric"),
         F.col("mae").alias("value"))
 
@@ -108,7 +108,7 @@ def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: in
         _long("coherence", values, [*counts, *shares]),
         _long("figes", agreement, ["n_stations_6h", "accord"]),
         _long("grille", fill_rate(status, step_min), ["cases", "pct_remplies"]),
-        _long("baseline", persistence_mae(pairs), ["mae"]),
+        _long("baseline", mae_of(errors), ["mae"]),
         by_slot,
     ]
     return reduce(DataFrame.unionByName, sections)
