@@ -42,7 +42,10 @@ def exact_quantiles(freq: DataFrame, qs: Sequence[float], coarse: int = DAY, fin
     hold at most ``coarse / fine`` and ``fine`` rows per wanted rank.  The
     broadcast lists have two rows per quantile: the ranks around it.
     """
-    parts = freq.select("v", "n", floor_to("v", coarse).alias("c"), floor_to("v", fine).alias("f"))
+    # With keys that cannot be NULL no join condition is pushed below the shuffle of ``freq``,
+    # so all levels share one.
+    parts = freq.select("v", "n", F.coalesce(floor_to("v", coarse), F.lit(0)).alias("c"),
+                        F.coalesce(floor_to("v", fine), F.lit(0)).alias("f"))
 
     so_far = Window.orderBy("c")
     whole = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
