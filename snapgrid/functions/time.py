@@ -62,9 +62,10 @@ def bucket(ts: Column | str, step_min: int) -> Column:
     return F.window(_col(ts), f"{step_min} minutes", startTime=f"{shift} minutes").start
 
 
-def hour_number(ts: Column | str) -> Column:
-    """Hours since 1970 of an NTZ timestamp, from cheap calendar fields."""
-    return F.unix_date(F.to_date(_col(ts))).cast("bigint") * 24 + F.hour(_col(ts))
+def minute_number(ts: Column | str) -> Column:
+    """Minutes since 1970 of an NTZ timestamp, from cheap calendar fields."""
+    ts = _col(ts)
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
 def local_hour(us: Column | str, tz: str = "Europe/Paris") -> Column:

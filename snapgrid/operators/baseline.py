@@ -35,11 +35,11 @@ def target(status: DataFrame, step_min: int = 15, horizon_min: int = 60, tz: str
     so the later value is in place before the empty cells are filled in.
     """
     ahead = horizon_cells(step_min, horizon_min)
-    held = observed_buckets(status, step_min, value)
-    later = held.where("n_bikes IS NOT NULL").select(
-        "station_id", "t0", "n_steps", (F.col("cell") - ahead).alias("cell"),
-        F.lit(None).cast(held.schema["n_bikes"].dataType).alias("n_bikes"), F.col("n_bikes").alias("y"))
-    both = held.withColumn("y", F.lit(None).cast(held.schema["n_bikes"].dataType)).unionByName(later)
+    nothing = F.lit(None)
+    own = F.struct(F.col("cell"), F.col("n_bikes"), nothing.alias("y"))
+    earlier = F.struct((F.col("cell") - ahead).alias("cell"), nothing.alias("n_bikes"), F.col("n_bikes").alias("y"))
+    both = observed_buckets(status, step_min, value).select(
+        "station_id", "t0", "n_steps", F.inline(F.array(own, earlier)))
     return fill_cells(both, step_min, ["n_bikes", "y"]).select(
         "station_id", "ts", "n_bikes", F.col("n_bikes").isNull().alias("is_imputed"), "y",
         F.when(F.col("cell") + ahead < F.col("n_steps"), F.col("y").isNull()).alias("y_imputed"),

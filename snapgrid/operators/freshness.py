@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import percent, round_to
-from snapgrid.functions.quantiles import exact_quantiles, frequencies
-from snapgrid.functions.time import HOUR, interval_micros
+from snapgrid.functions.quantiles import exact_quantiles, second_counts
+from snapgrid.functions.time import interval_micros, seconds
 
 
 def report_age() -> Column:
@@ -24,20 +24,21 @@ def freshness(status: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99),
     Rows without ``last_reported`` are left out; negative ages stay.
     ``accuracy`` switches the quantiles to ``approx_percentile``.
     """
-    freq = frequencies(status, report_age()).select(interval_micros(F.col("v")).alias("v"), "n")
-    total = F.sum("n")
-    shares = [percent(F.sum(F.when(F.col("v") > h * HOUR, F.col("n")).otherwise(0)), total, 2).alias(f"pct_sup_{h}h")
-              for h in limits_h]
-    summary = freq.agg(round_to(F.max("v") / 1e6 / 3600.0, 1).alias("max_h"), *shares)
+    age = report_age()
+    above = [percent(F.sum(F.when(F.col("second") > h * 3600, F.col("n")).otherwise(0)), F.sum("n"), 2)
+             .alias(f"pct_sup_{h}h") for h in limits_h]
+    shares = second_counts(status, age).agg(*above)
+    wanted = [*qs, 1.0]  # the greatest age is the last quantile
     if accuracy is None:
-        ages = exact_quantiles(freq, qs)
+        ages = exact_quantiles(status, age, wanted)
     else:
-        ages = (status.select(interval_micros(report_age()).alias("v"))
-                .agg(F.percentile_approx("v", list(qs), accuracy).cast("array<double>").alias("q")))
-    seconds = [F.get("q", F.lit(i)) / 1e6 for i in range(3)]
-    return ages.crossJoin(F.broadcast(summary)).select(
-        round_to(seconds[0]).alias("p50_s"),
-        round_to(seconds[1] / 60.0).alias("p90_min"),
-        round_to(seconds[2] / 3600.0, 1).alias("p99_h"),
-        "max_h", *[f"pct_sup_{h}h" for h in limits_h],
+        micros = F.percentile_approx(interval_micros(age), wanted, accuracy)
+        ages = status.agg(F.transform(micros, seconds).alias("q"))
+    at = [F.get("q", F.lit(i)) for i in range(len(wanted))]
+    return ages.crossJoin(F.broadcast(shares)).select(
+        round_to(at[0]).alias("p50_s"),
+        round_to(at[1] / 60.0).alias("p90_min"),
+        round_to(at[2] / 3600.0, 1).alias("p99_h"),
+        round_to(at[3] / 3600.0, 1).alias("max_h"),
+        *[f"pct_sup_{h}h" for h in limits_h],
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import floor_to, hour_number, interval_micros, seconds
+from snapgrid.functions.time import floor_to, minute_number, interval_micros, seconds
 from snapgrid.operators.freshness import report_age
 
 
@@ -15,15 +15,18 @@ def _hours(interval: Column) -> Column:
     return seconds(interval_micros(interval)) / 3600.0
 
 
-def _slice_islands(status: DataFrame, value: str, slice_hours: int) -> DataFrame:
+def _slice_islands(status: DataFrame, value: str, slice_min: int, unique: bool) -> DataFrame:
     """Islands inside each (station, time slice), flagged when they touch its ends."""
     observations = (
         status.where(F.col(value).isNotNull() & F.col("fetched_at").isNotNull())
         .select("station_id", F.col("fetched_at").alias("t"), F.col(value).alias("b"), report_age().alias("age"))
-        # copies of an observation are combined before they reach a window
-        .groupBy("station_id", "t", "b").agg(F.count("*").alias("n_obs"), F.max("age").alias("age"))
-        .withColumn("slice", floor_to(hour_number("t"), slice_hours))
     )
+    if unique:
+        observations = observations.withColumn("n_obs", F.lit(1))
+    else:  # copies of an observation are combined before they reach a window
+        observations = observations.groupBy("station_id", "t", "b").agg(
+            F.count("*").alias("n_obs"), F.max("age").alias("age"))
+    observations = observations.withColumn("slice", floor_to(minute_number("t"), slice_min))
     chain = Window.partitionBy("station_id", "slice").orderBy("t", "b")
     # rows at one instant are peers: they get the same running sum
     peers = Window.partitionBy("station_id", "slice").orderBy("t")
@@ -42,20 +45,22 @@ def _slice_islands(status: DataFrame, value: str, slice_hours: int) -> DataFrame
     )
 
 
-def islands(status: DataFrame, value: str = "num_bikes_available", slice_hours: int = 1,
-            min_hours: float | None = None) -> DataFrame:
+def islands(status: DataFrame, value: str = "num_bikes_available", slice_min: int = 10,
+            min_hours: float | None = None, unique: bool = False) -> DataFrame:
     """One row per island: station_id, valeur, n_obs, debut, fin, duree_h, fraicheur_max_h.
 
     NULL values are dropped first, so an island bridges them.  A station's
     timeline is cut into slices; islands are found per slice and only those
     touching a slice's ends are stitched, at most two rows per slice.  A
-    station with a third of all rows is therefore spread over its slices.
+    station with a third of all rows is therefore spread over its slices, and
+    a slice holds no more than its distinct instants.
     ``min_hours`` keeps islands at least that long; those strictly inside a
-    shorter slice are then dropped before the second shuffle.
+    shorter slice are then dropped before the second shuffle.  ``unique`` skips
+    the shuffle that combines copies, for a history without any.
     """
-    local = _slice_islands(status, value, slice_hours)
+    local = _slice_islands(status, value, slice_min, unique)
     touching = F.col("opens") | F.col("closes")
-    if min_hours is not None and slice_hours <= min_hours:
+    if min_hours is not None and slice_min <= min_hours * 60:
         local = local.where(touching)
 
     # Inner islands stay in a group of their own slice, the others meet per station.
@@ -80,12 +85,12 @@ def islands(status: DataFrame, value: str = "num_bikes_available", slice_hours:
 
 
 def frozen(status: DataFrame, value: str = "num_bikes_available", thresholds_h: Sequence[int] = (3, 6, 12, 24),
-           confirm_h: int = 6, slice_hours: int = 1) -> DataFrame:
+           confirm_h: int = 6, slice_min: int = 10, unique: bool = False) -> DataFrame:
     """Per threshold: islands at least that long, their stations, and how many have stale reports.
 
     Thresholds are cumulative; one that no island reaches gives no row.
     """
-    long_enough = islands(status, value, slice_hours, min(thresholds_h))
+    long_enough = islands(status, value, slice_min, min(thresholds_h), unique)
     threshold = F.explode(F.array(*[F.lit(h) for h in thresholds_h])).alias("seuil_heures")
     return (
         long_enough.select("station_id", "duree_h", "fraicheur_max_h", threshold)

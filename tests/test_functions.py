@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from conftest import at
 from snapgrid.functions.feed import stamp_of, type_count
 from snapgrid.functions.numbers import percent, round_to
-from snapgrid.functions.quantiles import exact_quantiles, frequencies
-from snapgrid.functions.time import bucket, from_micros, hour_number, local_hour, micros
+from snapgrid.functions.quantiles import exact_quantiles, upper_second
+from snapgrid.functions.time import bucket, from_micros, minute_number, local_hour, micros
 
 TIMES = ["1969-12-31 23:59:59.999999", "1999-12-31 23:50:00", "2000-01-03 00:00:00", "2024-01-01 00:00:00.000001",
          "2024-03-10 02:30:00", "2024-03-31 01:30:00", "2024-10-27 00:59:59.5", "2024-10-27 01:10:00"]
@@ -28,12 +28,12 @@ def zone(spark, request):
 def test_micros_round_trip_in_any_session_zone(spark, zone):
     df = spark.createDataFrame([(at(t),) for t in TIMES], "ts timestamp_ntz")
     rows = df.select("ts", micros("ts").alias("us"), from_micros(micros("ts")).alias("back"),
-                     hour_number("ts").alias("h")).collect()
+                     minute_number("ts").alias("m")).collect()
     for row in rows:
         expected = (row.ts - at("1970-01-01")).total_seconds()
         assert row.back == row.ts
         assert row.us == round(expected * 1e6)
-        assert row.h == expected // 3600
+        assert row.m == expected // 60
 
 
 @pytest.mark.parametrize("step", [5, 15, 25, 45, 60, 120])
@@ -84,24 +84,35 @@ def test_stamp_strict_and_lenient(spark):
 
 
 def quantiles(spark, values, qs):
+    """Quantiles of intervals given in microseconds, in microseconds."""
     df = spark.createDataFrame([(int(v),) for v in values], "x bigint")
-    return exact_quantiles(frequencies(df, F.col("x")), qs, coarse=1000, fine=10).first()["q"]
+    interval = F.expr("INTERVAL '0.000001' SECOND * x")
+    return [q * 1e6 for q in exact_quantiles(df, interval, qs).first()["q"]]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(-5000, 5000), min_size=1, max_size=60))
+@given(st.lists(st.one_of(st.integers(-3_000_000, 3_000_000), st.integers(-10**12, 10**12)),
+                min_size=1, max_size=60))
 def test_quantiles_equal_numpy(spark, values):
     qs = [0.0, 0.5, 0.9, 0.99, 1.0]
-    assert quantiles(spark, values, qs) == pytest.approx(list(np.quantile(values, qs)), abs=1e-6)
+    assert quantiles(spark, values, qs) == pytest.approx(list(np.quantile(values, qs)), rel=1e-9, abs=1e-3)
 
 
 def test_quantiles_with_one_value_on_most_rows(spark):
     rng = random.Random(3)
-    values = [777] * 2000 + [rng.randint(-10**6, 10**6) for _ in range(1000)]
+    values = [777] * 2000 + [rng.randint(-10**11, 10**11) for _ in range(1000)]
     qs = [0.01, 0.33, 0.5, 0.8, 0.999]
-    assert quantiles(spark, values, qs) == pytest.approx(list(np.quantile(values, qs)), abs=1e-6)
+    assert quantiles(spark, values, qs) == pytest.approx(list(np.quantile(values, qs)), rel=1e-9, abs=1e-3)
 
 
 def test_quantiles_of_nothing_are_null(spark):
-    df = spark.createDataFrame([(None,)], "x bigint")
-    assert exact_quantiles(frequencies(df, F.col("x")), [0.5]).first()["q"] == [None]
+    df = spark.createDataFrame([(None,)], "x interval day to second")
+    assert exact_quantiles(df, F.col("x"), [0.5]).first()["q"] == [None]
+
+
+def test_upper_second_decides_whole_second_limits(spark):
+    df = spark.createDataFrame([(us,) for us in (-2_500_000, -1, 0, 1, 999_999, 10**6, 10**6 + 1)], "x bigint")
+    got = [r[0] for r in df.select(upper_second(F.expr("INTERVAL '0.000001' SECOND * x"))).collect()]
+    assert got == sorted(got)
+    assert [g > 0 for g in got] == [False, False, False, True, True, True, True]
+    assert [g > 1 for g in got] == [False] * 6 + [True]

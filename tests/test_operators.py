@@ -109,13 +109,15 @@ def test_consistency_with_and_without_reference(spark, make_status):
 
 # -- islands ---------------------------------------------------------------
 
-@pytest.mark.parametrize("slice_hours", [1, 3, 1000])
+@pytest.mark.parametrize("slice_min", [10, 180, 60_000])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_islands_equal_one_window_per_station(make_status, sql_on, seed, slice_hours):
+def test_islands_equal_one_window_per_station(make_status, sql_on, seed, slice_min):
     status = make_status(random_history(seed, values=2, span_h=30))
     sql = "WITH " + oracle.ISLANDS + "SELECT station_id, valeur, n_obs, debut, fin FROM islands"
-    got = rows_of(islands(status, slice_hours=slice_hours), "station_id", "valeur", "n_obs", "debut", "fin")
+    got = rows_of(islands(status, slice_min=slice_min), "station_id", "valeur", "n_obs", "debut", "fin")
     assert got == sql_on(status, sql)
+    assert rows_of(islands(status, slice_min=slice_min, unique=True), "station_id", "valeur", "n_obs", "debut",
+                   "fin") == got
     assert sum(r[2] for r in got) == status.where("num_bikes_available IS NOT NULL").count()
 
 
@@ -139,13 +141,13 @@ def test_null_value_is_bridged_and_single_observation_has_no_length(make_status)
     assert rows_of(islands(status), "valeur", "n_obs", "duree_h") == [(5, 2, 8.0), (6, 1, 0.0)]
 
 
-@pytest.mark.parametrize("slice_hours", [1, 3, 50])
-def test_frozen_equals_its_definition_and_is_cumulative(make_status, sql_on, slice_hours):
+@pytest.mark.parametrize("slice_min", [1, 180, 3000])
+def test_frozen_equals_its_definition_and_is_cumulative(make_status, sql_on, slice_min):
     status = make_status(random_history(11, n=250, values=1, span_h=60, null_rate=0.3)
                          + random_history(12, n=60, values=2, span_h=200))
     status = status.dropDuplicates(["station_id", "fetched_at"])
     status = status.persist()
-    got = rows_of(frozen(status, slice_hours=slice_hours))
+    got = rows_of(frozen(status, slice_min=slice_min))
     assert got == sql_on(status, "WITH " + oracle.ISLANDS + "SELECT * FROM frozen")
     counts = [r[1] for r in sorted(got)]
     assert counts == sorted(counts, reverse=True)
