@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import ratio
@@ -16,6 +16,9 @@ from snapgrid.operators.coverage import (cadence, cadence_summary, keys_amplitud
 from snapgrid.operators.freshness import freshness
 from snapgrid.operators.islands import frozen, frozen_agreement
 from snapgrid.operators.timegrid import fill_rate
+from snapgrid.schema import INFO, LANDED_RENAMES, STATUS, canonicalise
+from snapgrid.sources.readers import read_snapshots
+from snapgrid.sources.sinks import write_report
 
 # The three verdicts, and the two of the frozen-sensor comparison.
 GOOD, WATCH, BAD = "OK", "à surveiller", "PROBLÈME"
@@ -118,3 +121,15 @@ def audit(status: DataFrame, info: DataFrame | None = None, step_min: int = 15,
           horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = ()) -> DataFrame:
     """Audit report: ``(section, metric, value, verdict)``."""
     return verdicts(audit_metrics(status, info, step_min, horizon_min, tz, ties))
+
+
+def run_audit(spark: SparkSession, status: str, dest: str, info: str | None = None, *, start: str | None = None,
+              end: str | None = None, step_min: int = 15, tz: str = "Europe/Paris", fmt: str = "parquet") -> None:
+    """Audit stored snapshots and store the report.
+
+    ``status`` and ``info`` are Parquet folders or globs; their columns are
+    brought to the canonical ones first.
+    """
+    history = canonicalise(read_snapshots(spark, status, ".parquet", start=start, end=end), STATUS, LANDED_RENAMES)
+    reference = None if info is None else canonicalise(read_snapshots(spark, info, ".parquet"), INFO, LANDED_RENAMES)
+    write_report(audit(history, reference, step_min, tz=tz).coalesce(1), dest, fmt)

@@ -24,6 +24,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def object_store_settings(endpoint: str, key: str, secret: str) -> dict[str, str]:
+    """Session settings for an S3-compatible store addressed by path; pass them to the session builder."""
+    return {
+        "spark.hadoop.fs.s3a.endpoint": endpoint,
+        "spark.hadoop.fs.s3a.access.key": key,
+        "spark.hadoop.fs.s3a.secret.key": secret,
+        "spark.hadoop.fs.s3a.path.style.access": "true",
+    }
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the cluster's shared checkpoint folder.
 

@@ -27,6 +27,10 @@ class UnsupportedFormat(ValueError):
     """The extension has no reader."""
 
 
+class MixedJson(ValueError):
+    """Some JSON files hold one document per line, others documents spanning lines."""
+
+
 def extension(path: str) -> str:
     return os.path.splitext(path.replace("*", "x"))[1]
 
@@ -59,6 +63,18 @@ def _one_document_per_line(spark: SparkSession, path: str, options: dict[str, st
     return True
 
 
+def _refuse_json_lines(spark: SparkSession, paths: Sequence[str], options: dict[str, str]) -> None:
+    """Fail if a file lists documents line by line; read as one document, all but the first would be lost."""
+    whole_lines = (
+        spark.read.options(**options).text(list(paths))
+        .where(F.col("value").rlike(r"^\{.*\}\s*$"))
+        .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    )
+    found = whole_lines.first()
+    if found is not None:
+        raise MixedJson(f"{found['path']} holds {found['n']} documents, one per line; read such files on their own")
+
+
 def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | None = None, *,
                    schema: T.StructType | None = None, start: str | None = None, end: str | None = None,
                    multiline: bool | None = None, provenance: bool = False) -> DataFrame:
@@ -67,11 +83,12 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
     The extension picks the reader unless ``ext`` names it.  Parquet files are
     united by column name.  ``start`` and ``end`` (inclusive dates) prune
     ``date=`` folders.  ``multiline`` says whether a JSON document spans lines;
-    None looks at the first line, which holds for files of one kind.
+    None looks at the first line, and refuses files of both kinds together.
     ``provenance`` adds the source path as ``filename``.  Pass ``schema`` for
     large CSV or JSON inputs: inferring one reads the data first.
     """
-    paths = [path] if isinstance(path, str) else list(path)
+    paths = [p.replace("s3://", "s3a://", 1) if p.startswith("s3://") else p
+             for p in ([path] if isinstance(path, str) else path)]
     ext = ext or extension(paths[0])
     if ext not in FORMATS:
         raise UnsupportedFormat(f"no reader for {ext or 'a path without extension'!r}: {paths[0]}")
@@ -92,6 +109,8 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
     if fmt == "json":
         if multiline is None:
             multiline = not _one_document_per_line(spark, paths[0], options)
+            if multiline:
+                _refuse_json_lines(spark, paths, options)
         reader = reader.option("multiLine", multiline).option("mode", "FAILFAST")
     elif fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)

@@ -7,9 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as driver
-from conftest import SF_DIR, at, rows_of
+from conftest import SF_DIR, status_row
 from snapgrid.plans.audit import AGREE, BAD, DIVERGE, GOOD, LIMITS, WATCH, audit, verdicts
-from snapgrid.sources.drift import read_drifted  # noqa: F401  (only reader that uses Python workers)
 
 WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "csv_json_roundtrip", "union_by_name", "discover_files"}
 PLANNED = sorted(set(driver.queries()) - WRITES_FIRST)
@@ -97,11 +96,9 @@ def test_verdict_levels_and_null(spark):
 
 
 def test_audit_of_a_single_run_without_reference(spark, make_status):
-    from conftest import status_row
     status = make_status([status_row(1, "2024-01-01 10:00:00", 5, "2024-01-01 09:59:00", mechanical=5)])
     found = {r.metric: (r.value, r.verdict) for r in audit(status).collect()}
     assert found["pire_trou_min"] == (None, BAD)
     assert "depasse_capacite" not in found and "accord" not in found
     assert found["cases"] == (1.0, None) and found["pct_remplies"] == (100.0, GOOD)
     assert found["mae"] == (None, None)
-    assert at("2024-01-01") and rows_of(status, "station_id") == [(1,)]

@@ -5,13 +5,17 @@ import pathlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import at, rows_of
 from snapgrid.operators.envelope import flat_status, flatten_envelope, landed_rows
 from snapgrid.schema import ENVELOPE, INFO, LANDED_RENAMES, STATUS, canonicalise
 from snapgrid.sources.convert import EmptyFeed, convert, convert_first, land
 from snapgrid.sources.discover import discover
-from snapgrid.sources.readers import UnsupportedFormat, between_dates, read_snapshots
+from snapgrid.plans.audit import run_audit
+from snapgrid.plans.inspection import inspect_tree
+from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, _refuse_json_lines, between_dates,
+                                       read_snapshots)
 from snapgrid.sources.sinks import write_report
 
 
@@ -150,13 +154,12 @@ def test_every_envelope_shape_converts_alike(spark, tmp_path, shape, indent):
 def test_first_wins_and_last_wins(spark):
     row = (1, 0, ([(1, "1", 4, 1, [(3, None), (5, None)], 1, 1, 1, 0), (2, "2", 4, 1, None, 1, 1, 1, 0)],),
            "x/20240101T000000Z.json")
-    df = spark.createDataFrame([row], ENVELOPE.add("filename", "string"))
+    df = spark.createDataFrame([row], T.StructType([*ENVELOPE.fields, T.StructField("filename", T.StringType())]))
     assert rows_of(flat_status(df), "station_id", "mechanical", "ebike") == [(1, 3, 0), (2, 0, 0)]
     landed = landed_rows(df)
     assert rows_of(landed, "station_id", "mechanical", "ebike") == [(1, 5, None), (2, None, None)]
     # a feed time of 0 counts as not given
     assert rows_of(landed, "feed_last_updated", "ingested_at")[0] == (1, at("2024-01-01"))
-    ENVELOPE.fields.pop(), ENVELOPE.names.pop()
 
 
 def test_empty_station_list_gives_no_row(spark):
@@ -214,3 +217,39 @@ def test_report_is_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     with pytest.raises(ValueError):
         write_report(report, str(tmp_path / "x"), "xml")
+
+
+def test_json_of_both_kinds_is_refused(spark, tmp_path):
+    put(tmp_path / "in/a.json", envelope(station(1)), indent=2)
+    put(tmp_path / "in/b.json", "\n".join(json.dumps(envelope(station(i))) for i in (2, 3)))
+    with pytest.raises(Exception):  # which check meets it depends on the file listed first
+        read_snapshots(spark, str(tmp_path / "in"), ".json").collect()
+    with pytest.raises(MixedJson):
+        _refuse_json_lines(spark, [str(tmp_path / "in")], {})
+    put(tmp_path / "one/a.json", envelope(station(1)), indent=2)
+    put(tmp_path / "one/b.json", envelope(station(2)))
+    assert flatten_envelope(read_snapshots(spark, str(tmp_path / "one"), ".json")).count() == 2
+
+
+def test_inspection_flattens_and_judges(spark, tmp_path):
+    put(tmp_path / "raw/status/date=2024-01-01/20240101T000000Z.json", envelope(station(1), station(2)), indent=1)
+    put(tmp_path / "raw/info/i.csv", "station_id,capacity\n1,20\n1,21\n")
+    info, status = inspect_tree(spark, str(tmp_path / "raw"))
+    assert (info.dataset, info.n_files, info.flattened, info.conformance) == ("info", 1, False, None)
+    assert info.bounds.first().asDict() == {"n_lignes": 2, "n_stations": 1}
+    assert status.flattened and status.bounds.first().asDict() == {"n_lignes": 2, "n_stations": 2}
+    missing = {r.column for r in status.conformance.where("check = 'required' AND NOT ok").collect()}
+    assert missing == {"fetched_at"}
+
+
+def test_audit_from_paths(spark, tmp_path):
+    for minute in (0, 15, 30):
+        put(tmp_path / f"in/20240101T00{minute:02d}00Z.json", envelope(station(1), station(2, 6)))
+    convert(spark, str(tmp_path / "in"), str(tmp_path / "status"), ".json")
+    spark.createDataFrame([(1, 5), (2, 30)], "station_id bigint, capacity bigint").withColumn(
+        "fetched_at", F.expr("timestamp_ntz'2024-01-01'")).write.parquet(str(tmp_path / "info"))
+    run_audit(spark, f"{tmp_path}/status/**/*.parquet", str(tmp_path / "report"), str(tmp_path / "info"), fmt="json")
+    found = {r.metric: (r.value, r.verdict) for r in spark.read.json(str(tmp_path / "report")).collect()}
+    assert found["n_lignes"][0] == 6 and found["pire_trou_min"] == (15.0, "OK")
+    assert found["depasse_capacite"][0] == 3 and found["part_depasse_capacite"] == (0.5, "PROBLÈME")
+    assert found["types_incoherents"][0] == 3 and found["pct_remplies"] == (100.0, "OK")
