@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import floor_to, minute_number, interval_micros, seconds
+from snapgrid.functions.time import floor_to, interval_micros, minute_number, seconds
 from snapgrid.operators.freshness import report_age
 
 
