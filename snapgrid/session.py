@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,14 +34,9 @@ def object_store_settings(endpoint: str, key: str, secret: str) -> dict[str, str
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the cluster's shared checkpoint folder.
+    """A new, unused folder below the cluster's shared checkpoint folder, or below the warehouse where none is set.
 
-    Only a local session without ``spark.checkpoint.dir`` falls back to the
-    machine's temporary folder; a cluster has to name a shared one.
+    Both are shared by driver and executors; a machine's temporary folder is never taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="snapgrid-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as driver
 from conftest import SF_DIR
+from snapgrid.plans.oracle import ORACLE
+from snapgrid.plans.workload import QUERIES
 
 ROWS_ONLY = {"discover_files", "preview_nested"}
 
@@ -16,7 +18,9 @@ SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "strin
 
 
 def test_only_file_and_preview_queries_lack_an_oracle():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
@@ -24,7 +28,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_oracle(spark, driver_tables, name):
     result = driver.queries()[name](spark, SF_DIR)
     names = sorted(result.columns)
