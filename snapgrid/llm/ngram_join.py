@@ -34,7 +34,7 @@ SHINGLE = 5
 RECALL = 0.999_999
 SKETCH = 96
 PICKS = 3
-SMALL = 256
+SMALL = 800
 BLOCK = 800
 MARGIN = 0.2
 DEPTH = 6
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     chosen = materialise(sets.join(wanted.select("set").distinct(), "set", "left_semi")
                          .select(F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "chosen")
-    read = texts.join(chosen, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    # the chosen documents grow with the input, so they are not to be broadcast at any size
+    read = texts.join(chosen.hint("merge"), (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
     grams = read.select("text").mapInArrow(_sets_of(shingle), "set binary, grams binary").groupBy("set").agg(
         F.first("grams").alias("grams"))
     full = listed.join(sets.select("set", "copies"), "set").join(grams, "set")
