@@ -32,7 +32,8 @@ BITS = 8
 BLOCK = 512
 SEGMENT = 4_000_000
 END = 2
-TABLE_ROWS = 400_000
+TABLE_ROWS = 600_000
+_SIGNS = {" ": "Ġ", "\n": "Ċ"}  # how this vocabulary writes them
 _HEAD = struct.Struct("<4s5I")
 
 
@@ -44,8 +45,8 @@ def model_path() -> str:
 class WordTable:
     """Ids of distinct space-led words by the tokenizers library.
 
-    The library's own pre-tokenizer never joins characters across a single space that stands between two others, so such
-    words are encoded alone.  A text with any other white space at a word's edge is given to the library whole.
+    The library's own pre-tokenizer never joins characters across a single blank or line feed that stands between two
+    others, so such words are encoded alone.  A text with other white space at a word's edge is given to the library whole.
     """
 
     def __init__(self, path: str, most: int = TABLE_ROWS):
@@ -54,30 +55,67 @@ class WordTable:
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        names = [name or "" for name in names]
+        # pieces that begin with a blank, and with a line feed
+        self.leads = {sign: np.array([name.startswith(written) for name in names]) for sign, written in _SIGNS.items()}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def alone(self, words: list[str], lead: str, together: int = 2000) -> list[bytes]:
+        """Ids of words that begin with ``lead`` and have it nowhere else, as bytes: many in one text, cut before its pieces."""
+        groups, out = [words[at:at + together] for at in range(0, len(words), together)], []
+        for group, ids in zip(groups, self.whole(["".join(group) for group in groups])):
+            ids = np.array(ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(self.leads[lead][ids])
+            if len(cuts) != len(group):
+                raise ValueError("the tokenizer joins characters across words")
+            data = ids.tobytes()
+            out += [data[start:stop] for start, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(data)])]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        found = self.ids
+        found.update(dict.fromkeys(new))
+        lone = [word for word in new if word and not word[0].isspace() and not word[-1].isspace()]
+        found.update(zip(lone, self.alone([" " + word for word in lone], " ")))
+        begins = [word for word in new if word[:1] == "\n" and word[1:2] and not word[1].isspace() and not word[-1].isspace()
+                  and "\n" not in word[1:]]
+        found.update(zip(begins, self.alone(begins, "\n")))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [text.split(" ") for text in texts]
-        wanted = {word for words in cut for word in words[1:]}
+        cut = [_split(text) for text in texts]
         if len(self.ids) > self.most:
             self.ids.clear()
-        new = [word for word in wanted if word not in self.ids]
-        lone = [word for word in new if word and not word[0].isspace() and not word[-1].isspace()]
-        self.ids.update(dict.fromkeys(new))
-        self.ids.update(zip(lone, map(tuple, self.whole([" " + word for word in lone]))))
-        found, out = self.ids, []
+        if new := list(set().union(*cut).difference(self.ids)):
+            self.learn(new)
+        found = self.ids
+        heads = iter(self.whole([words[0] for words in cut]))
+        out = []
         for text, words in zip(texts, cut):
-            parts = [found[word] for word in words[1:]]
-            if None in parts or not words[0] or words[0][0].isspace() or words[0][-1].isspace():
+            parts, head = list(map(found.__getitem__, words)), next(heads)
+            if None in parts:
                 out.append(np.array(self.whole([text])[0], dtype=np.uint32))
             else:
-                first = self.whole([words[0]])[0]
-                out.append(np.array([*first, *(i for part in parts for i in part)], dtype=np.uint32))
+                parts[0] = np.array(head, "<u4").tobytes()  # nothing stands before it
+                out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
         return out
 
 
+def _split(text: str) -> list[str]:
+    """Words without their leading blank; where line feeds stand between other characters, a line's first has the feed.
+
+    A feed after a blank would look the same, so such a text gives an empty word, which sends it to the library whole.
+    """
+    if "\n" in text:
+        if " \n" in text:
+            return ["", ""]
+        if "\n\n" not in text and "\n " not in text:
+            text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
 _TABLES: dict[str, WordTable] = {}
 
 
