@@ -43,7 +43,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table below the shared scratch folder and read it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
