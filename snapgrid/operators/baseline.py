@@ -23,6 +23,9 @@ LAST_SLOT = "20-24 soirée"
 
 
 def horizon_cells(step_min: int, horizon_min: int = 60) -> int:
+    """Whole steps in the horizon; where it is no multiple of the step, the real horizon is that many steps, and shorter."""
+    if step_min <= 0 or horizon_min < step_min:
+        raise ValueError(f"a horizon of {horizon_min} minutes has no step of {step_min}")
     return horizon_min // step_min
 
 

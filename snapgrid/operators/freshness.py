@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import percent, round_to
 from snapgrid.functions.quantiles import exact_quantiles, second_counts
-from snapgrid.functions.time import interval_micros, seconds
 
 
 def report_age() -> Column:
@@ -17,23 +16,17 @@ def report_age() -> Column:
     return F.col("fetched_at") - F.col("last_reported")
 
 
-def freshness(status: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99),
-              limits_h: Sequence[int] = (6, 24), accuracy: int | None = None) -> DataFrame:
+def freshness(status: DataFrame, limits_h: Sequence[int] = (6, 24)) -> DataFrame:
     """One row: three age quantiles (s, min, h), greatest age, share above each limit.
 
     Rows without ``last_reported`` are left out; negative ages stay.
-    ``accuracy`` switches the quantiles to ``approx_percentile``.
     """
     age = report_age()
     above = [percent(F.sum(F.when(F.col("second") > h * 3600, F.col("n")).otherwise(0)), F.sum("n"), 2)
              .alias(f"pct_sup_{h}h") for h in limits_h]
     shares = second_counts(status, age).agg(*above)
-    wanted = [*qs, 1.0]  # the greatest age is the last quantile
-    if accuracy is None:
-        ages = exact_quantiles(status, age, wanted)
-    else:
-        micros = F.percentile_approx(interval_micros(age), wanted, accuracy)
-        ages = status.agg(F.transform(micros, seconds).alias("q"))
+    wanted = [0.5, 0.9, 0.99, 1.0]  # the greatest age is the last quantile
+    ages = exact_quantiles(status, age, wanted)
     at = [F.get("q", F.lit(i)) for i in range(len(wanted))]
     return ages.crossJoin(F.broadcast(shares)).select(
         round_to(at[0]).alias("p50_s"),

@@ -72,7 +72,7 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint = scratch_dir(spark, "checkpoint")
     # the second run finds nothing new
     for _ in range(2):
-        ingest_stream(spark, landing, dest, checkpoint, multiline=False).awaitTermination()
+        ingest_stream(spark, landing, dest, checkpoint).awaitTermination()
     return spark.read.parquet(dest)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,25 +28,47 @@ class Written:
     total: int
 
 
-def _write(rows: DataFrame, dest: str) -> Written:
+def _held(spark: SparkSession, dest: str) -> int:
+    try:
+        return rows_below(spark, dest)
+    except AnalysisException:  # nothing is there yet
+        return 0
+
+
+def _write(rows: DataFrame, dest: str, mode: str = "overwrite") -> Written:
+    if rows.isEmpty():  # an observed plan without rows would give no count
+        return Written(0, _held(rows.sparkSession, dest))
     seen = Observation("written")
-    write_by_date(rows.observe(seen, F.count(F.lit(1)).alias("n")), dest)
+    write_by_date(rows.observe(seen, F.count(F.lit(1)).alias("n")), dest, mode)
     return Written(seen.get["n"], rows_below(rows.sparkSession, dest))
 
 
+def _new(rows: DataFrame, dest: str, key: str) -> DataFrame:
+    """The rows whose key the destination does not hold yet, in their own dates if it is kept by date."""
+    try:
+        held = rows.sparkSession.read.parquet(dest)
+    except AnalysisException:  # nothing is there yet
+        return rows
+    if "date" in rows.columns:
+        days = [row["date"] for row in rows.select("date").distinct().collect()]  # bounded by the calendar
+        held = held.where(F.col("date").isin(days))
+    seen = held.select(F.col(key).alias("held_key")).distinct()
+    return rows.join(seen, F.col(key).eqNullSafe(F.col("held_key")), "left_anti")
+
+
 def convert(spark: SparkSession, src: str, dest: str, ext: str | None = None, *,
             schema: T.StructType | None = None, multiline: bool | None = None,
             bad_stamps: str | None = None) -> Written:
     """Flatten JSON snapshots into canonical rows, partitioned by date.
 
-    A file whose name carries no collection stamp fails the job, unless
+    Each date that the input holds, even in part, is replaced as a whole.  A file whose name carries no collection stamp fails the job, unless
     ``bad_stamps`` names a folder where its rows are kept instead.
     """
     raw = read_snapshots(spark, src, ext, schema=schema, multiline=multiline, provenance=True)
     if bad_stamps is None or "fetched_at" in raw.columns:
         return _write(flat_status(raw), dest)
     stamped = stamp_of("filename", strict=False).isNotNull()
-    raw.where(~stamped).write.mode("append").parquet(bad_stamps)
+    _new(raw.where(~stamped), bad_stamps, "filename").write.mode("append").parquet(bad_stamps)
     return _write(flat_status(raw.where(stamped), on_bad_stamp="null"), dest)
 
 
@@ -62,7 +85,9 @@ def convert_first(spark: SparkSession, root: str, dest: str, **options) -> Writt
 def land(envelopes: DataFrame, dest: str, ingested_at: Column | None = None) -> Written:
     """Store feed envelopes as the collector's flat rows, in ``date=`` folders.
 
-    ``ingested_at`` defaults to the stamp in ``filename``.  An envelope without
+    Earlier runs of a date stay; a run (by its ``ingested_at``) that is stored
+    already is not stored again.  ``ingested_at`` defaults to the stamp in
+    ``filename``.  An envelope without
     stations aborts before anything is written.
     """
     path = stations_path(envelopes.schema)
@@ -71,5 +96,5 @@ def land(envelopes: DataFrame, dest: str, ingested_at: Column | None = None) ->
     empty = envelopes.where(F.coalesce(F.size(F.col(path)), F.lit(0)) <= 0)
     if not empty.limit(1).isEmpty():
         raise EmptyFeed("a feed lists no station")
-    rows = landed_rows(envelopes, ingested_at)
-    return _write(rows.withColumn("date", F.to_date("ingested_at")), dest)
+    rows = landed_rows(envelopes, ingested_at).withColumn("date", F.to_date("ingested_at"))
+    return _write(_new(rows, dest, "ingested_at"), dest, "append")

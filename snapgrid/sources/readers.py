@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Sequence
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapgrid.functions.feed import is_document
 from snapgrid.sources.drift import read_drifted
 
 # The reader each extension is given to.
@@ -28,7 +28,7 @@ class UnsupportedFormat(ValueError):
 
 
 class MixedJson(ValueError):
-    """Some JSON files hold one document per line, others documents spanning lines."""
+    """JSON files that neither hold one document per line nor one document each."""
 
 
 def extension(path: str) -> str:
@@ -51,30 +51,29 @@ def _hive_partitioned(spark: SparkSession, root: str) -> bool:
     return True
 
 
-def _one_document_per_line(spark: SparkSession, path: str, options: dict[str, str]) -> bool:
-    """Whether the first line on hand is a whole JSON document."""
-    line = spark.read.options(**options).text(path).where(F.trim("value") != "").first()
-    if line is None:
-        return True
-    try:
-        json.loads(line[0])
-    except ValueError:
+def _spans_lines(spark: SparkSession, paths: Sequence[str], options: dict[str, str]) -> bool:
+    """Whether documents span lines, from every line of every file; files that a reader would cut short are refused.
+
+    A file whose lines are all documents is read line by line, any other as one document.  Files of one line suit both.
+    """
+    lines = spark.read.options(**options).text(list(paths)).where(F.trim("value", F.lit(" \t\r")) != "")
+    valid = is_document(F.col("value"))
+    files = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("n"), F.bool_and(valid).alias("by_line"))
+    listed, spanning = files.where("by_line AND n > 1"), files.where("NOT by_line")
+    one = spanning.first()
+    if one is None:
         return False
+    if (other := listed.first()) is not None:
+        raise MixedJson(f"{other['path']} holds {other['n']} documents, one per line, {one['path']} a document over several; "
+                        "read such files on their own")
+    whole = spark.read.options(**options).text(list(paths), wholetext=True)
+    broken = whole.where(~is_document(F.col("value")) & (F.trim("value", F.lit(" \t\r\n")) != ""))
+    if (bad := broken.select(F.col("_metadata.file_path").alias("path")).first()) is not None:
+        raise MixedJson(f"{bad['path']} is not one JSON document, nor one per line")
     return True
 
 
-def _refuse_json_lines(spark: SparkSession, paths: Sequence[str], options: dict[str, str]) -> None:
-    """Fail if a file lists documents line by line; read as one document, all but the first would be lost."""
-    whole_lines = (
-        spark.read.options(**options).text(list(paths))
-        .where(F.col("value").rlike(r"^\{.*\}\s*$"))
-        .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).where("n > 1")
-    )
-    found = whole_lines.first()
-    if found is not None:
-        raise MixedJson(f"{found['path']} holds {found['n']} documents, one per line; read such files on their own")
-
-
 def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | None = None, *,
                    schema: T.StructType | None = None, start: str | None = None, end: str | None = None,
                    multiline: bool | None = None, provenance: bool = False) -> DataFrame:
@@ -83,7 +82,8 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
     The extension picks the reader unless ``ext`` names it.  Parquet files are
     united by column name.  ``start`` and ``end`` (inclusive dates) prune
     ``date=`` folders.  ``multiline`` says whether a JSON document spans lines;
-    None looks at the first line, and refuses files of both kinds together.
+    None reads every file to find out, and refuses by name files of both kinds
+    together and files that hold several documents over several lines.
     ``provenance`` adds the source path as ``filename``.  Pass ``schema`` for
     large CSV or JSON inputs: inferring one reads the data first.
     """
@@ -108,9 +108,7 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
     reader = spark.read.format(fmt).options(**options)
     if fmt == "json":
         if multiline is None:
-            multiline = not _one_document_per_line(spark, paths[0], options)
-            if multiline:
-                _refuse_json_lines(spark, paths, options)
+            multiline = _spans_lines(spark, paths, options)
         reader = reader.option("multiLine", multiline).option("mode", "FAILFAST")
     elif fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)

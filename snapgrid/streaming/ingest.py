@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from snapgrid.functions.feed import is_document
 from snapgrid.operators.envelope import flat_status
 from snapgrid.schema import ENVELOPE, STATUS
 
@@ -16,13 +18,25 @@ KEY = ["station_id", "fetched_at"]
 
 
 def read_landing(spark: SparkSession, landing: str, schema: T.StructType = ENVELOPE, *,
-                 multiline: bool = True, max_files: int | None = None) -> DataFrame:
-    """Streaming status rows of the JSON files that arrive below ``landing``."""
-    reader = (spark.readStream.schema(schema).option("multiLine", multiline)
-              .option("mode", "FAILFAST").option("recursiveFileLookup", True))
+                 multiline: bool | None = None, max_files: int | None = None) -> DataFrame:
+    """Streaming status rows of the JSON files that arrive below ``landing``.
+
+    By default each file is read whole and holds one document, or one per line;
+    anything else fails.  ``multiline=False`` says that all hold one per line,
+    and lets large files be read in pieces; ``multiline=True`` that all hold one.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return flat_status(reader.json(landing).withColumn("filename", F.col("_metadata.file_path")))
+    if multiline is not None:
+        df = reader.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(landing)
+        return flat_status(df.withColumn("filename", F.col("_metadata.file_path")))
+    whole = reader.text(landing, wholetext=True).withColumn("filename", F.col("_metadata.file_path"))
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line, F.lit(" \t\r")) != "")
+    documents = F.when(is_document(F.col("value")), F.array("value")).otherwise(lines)
+    found = whole.select("filename", F.explode(documents).alias("document"))
+    parsed = F.from_json("document", schema, {"mode": "FAILFAST"})
+    return flat_status(found.select(parsed.alias("d"), "filename").select("d.*", "filename"))
 
 
 def _append_new(dest: str, batch: DataFrame, batch_id: int) -> None:
@@ -34,33 +48,25 @@ def _append_new(dest: str, batch: DataFrame, batch_id: int) -> None:
     batch = batch.persist()
     try:
         dates = [row["date"] for row in batch.select("date").distinct().collect()]  # bounded by the calendar
-        held = spark.read.schema(STATUS).parquet(dest).where(F.col("date").isin(dates)).select(*KEY)
-        rows = batch.dropDuplicates(KEY).join(held, KEY, "left_anti")
+        held = spark.read.schema(STATUS).parquet(dest).where(F.col("date").isin(dates))
+        held = held.select(*[F.col(name).alias(f"held_{name}") for name in KEY])
+        same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"held_{name}")) for name in KEY])
+        rows = batch.dropDuplicates(KEY).join(held, same, "left_anti")
         rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(dest)
     finally:
         batch.unpersist()
 
 
 def ingest_stream(spark: SparkSession, landing: str, dest: str, checkpoint: str,
-                  schema: T.StructType = ENVELOPE, *, multiline: bool = True,
-                  max_files: int | None = None, watermark: str | None = None) -> StreamingQuery:
+                  schema: T.StructType = ENVELOPE, *, multiline: bool | None = None,
+                  max_files: int | None = None) -> StreamingQuery:
     """Start one run over the files not ingested yet and stop when they are done.
 
-    Rows are unique by (station_id, fetched_at).  By default each batch is
-    compared with what its dates already hold, so a row is kept however late
-    it comes.  ``watermark`` (such as ``"2 days"``) keeps the keys in stream
-    state instead; rows older than that are then dropped as late, which suits
-    a feed with a known delay only.
+    Rows are unique by (station_id, fetched_at).  Each batch is compared with
+    what its dates already hold, so a row is kept however late it comes.
     """
     rows = read_landing(spark, landing, schema, multiline=multiline, max_files=max_files)
-    if watermark is None:
-        # an empty append makes the folder, so that the first batch can look into it
-        spark.createDataFrame([], STATUS).write.mode("append").partitionBy("date").parquet(dest)
-        return (rows.writeStream.foreachBatch(partial(_append_new, dest))
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    # event time must be an instant; the wall clock stays in fetched_at
-    unique = (rows.withColumn("event_time", F.col("fetched_at").cast("timestamp"))
-              .withWatermark("event_time", watermark)
-              .dropDuplicatesWithinWatermark(KEY).drop("event_time"))
-    return (unique.writeStream.format("parquet").partitionBy("date").option("path", dest)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    # an empty append makes the folder, so that the first batch can look into it
+    spark.createDataFrame([], STATUS).write.mode("append").partitionBy("date").parquet(dest)
+    return (rows.writeStream.foreachBatch(partial(_append_new, dest))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -88,11 +88,9 @@ def test_freshness_keeps_negative_and_drops_null(make_status, sql_on):
     assert rows_of(freshness(status)) == sql_on(status, sql)
 
 
-def test_freshness_approximation_is_close(make_status):
-    status = make_status(random_history(6, n=400))
-    exact, close = freshness(status).first(), freshness(status, accuracy=10_000).first()
-    assert close.max_h == exact.max_h
-    assert close.p50_s == pytest.approx(exact.p50_s, rel=0.05)
+def test_a_step_beyond_the_horizon_is_refused(make_status):
+    with pytest.raises(ValueError):
+        baseline.target_pairs(make_status(random_history(6, n=20)), step_min=90)
 
 
 def test_consistency_with_and_without_reference(spark, make_status):

@@ -14,7 +14,7 @@ from snapgrid.sources.convert import EmptyFeed, convert, convert_first, land
 from snapgrid.sources.discover import discover
 from snapgrid.plans.audit import run_audit
 from snapgrid.plans.inspection import inspect_tree
-from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, _refuse_json_lines, between_dates,
+from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, between_dates,
                                        read_snapshots)
 from snapgrid.sources.sinks import write_report
 
@@ -222,10 +222,17 @@ def test_report_is_written(spark, tmp_path):
 def test_json_of_both_kinds_is_refused(spark, tmp_path):
     put(tmp_path / "in/a.json", envelope(station(1)), indent=2)
     put(tmp_path / "in/b.json", "\n".join(json.dumps(envelope(station(i))) for i in (2, 3)))
-    with pytest.raises(Exception):  # which check meets it depends on the file listed first
-        read_snapshots(spark, str(tmp_path / "in"), ".json").collect()
-    with pytest.raises(MixedJson):
-        _refuse_json_lines(spark, [str(tmp_path / "in")], {})
+    with pytest.raises(MixedJson, match="b.json"):
+        read_snapshots(spark, str(tmp_path / "in"), ".json")
+    put(tmp_path / "blank/a.json", envelope(station(1)), indent=2)
+    put(tmp_path / "blank/b.json", "\n".join(" " + json.dumps(envelope(station(i))) for i in (2, 3)))
+    with pytest.raises(MixedJson, match="b.json"):
+        read_snapshots(spark, str(tmp_path / "blank"), ".json")
+    put(tmp_path / "two/a.json", "\n".join(json.dumps(envelope(station(i)), indent=2) for i in (1, 2)))
+    with pytest.raises(MixedJson, match="a.json"):
+        read_snapshots(spark, str(tmp_path / "two"), ".json")
+    put(tmp_path / "lines/a.json", "\n".join(" " + json.dumps(envelope(station(i))) for i in (1, 2)))
+    assert flatten_envelope(read_snapshots(spark, str(tmp_path / "lines"), ".json")).count() == 2
     put(tmp_path / "one/a.json", envelope(station(1)), indent=2)
     put(tmp_path / "one/b.json", envelope(station(2)))
     assert flatten_envelope(read_snapshots(spark, str(tmp_path / "one"), ".json")).count() == 2
@@ -253,3 +260,20 @@ def test_audit_from_paths(spark, tmp_path):
     assert found["n_lignes"][0] == 6 and found["pire_trou_min"] == (15.0, "OK")
     assert found["depasse_capacite"][0] == 3 and found["part_depasse_capacite"] == (0.5, "PROBLÈME")
     assert found["types_incoherents"][0] == 3 and found["pct_remplies"] == (100.0, "OK")
+
+
+def test_landing_keeps_earlier_runs_of_a_day(spark, tmp_path):
+    for minute, bikes in ((0, 5), (15, 6)):
+        put(tmp_path / f"in{minute}/20240101T00{minute:02d}00Z.json", envelope(station(1, bikes), lastUpdatedOther=0))
+        run = read_snapshots(spark, str(tmp_path / f"in{minute}"), ".json", provenance=True)
+        assert land(run, str(tmp_path / "out")).rows == 1
+    again = read_snapshots(spark, str(tmp_path / "in0"), ".json", provenance=True)
+    written = land(again, str(tmp_path / "out"))
+    assert (written.rows, written.total) == (0, 2)
+
+
+def test_quarantine_holds_a_file_once(spark, tmp_path):
+    put(tmp_path / "in/unnamed.json", envelope(station(1)))
+    for _ in range(2):
+        convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), ".json", bad_stamps=str(tmp_path / "bad"))
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 1

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import shutil
 
 import pytest
@@ -15,17 +16,17 @@ def run(spark, tmp_path, **options):
     return spark.read.parquet(str(tmp_path / "out"))
 
 
-@pytest.mark.parametrize("watermark", [None, "2 days"])
-def test_runs_add_only_what_is_new(spark, tmp_path, watermark):
+@pytest.mark.parametrize("multiline", [None, True])
+def test_runs_add_only_what_is_new(spark, tmp_path, multiline):
     first = put(tmp_path / "in/20240101T000000Z.json", envelope(station(1), station(2)), indent=1)
     put(tmp_path / "in/20240101T001500Z.json", envelope(station(1, 8)))
-    assert run(spark, tmp_path, watermark=watermark, max_files=1).count() == 3
-    assert run(spark, tmp_path, watermark=watermark).count() == 3
+    assert run(spark, tmp_path, multiline=multiline, max_files=1).count() == 3
+    assert run(spark, tmp_path, multiline=multiline).count() == 3
     # the same snapshot lands again in another folder
     (tmp_path / "in/again").mkdir()
     shutil.copy(first, tmp_path / "in/again/20240101T000000Z.json")
     put(tmp_path / "in/20240102T000000Z.json", envelope(station(2, 9)))
-    out = run(spark, tmp_path, watermark=watermark)
+    out = run(spark, tmp_path, multiline=multiline)
     assert rows_of(out, "station_id", "fetched_at", "num_bikes_available") == [
         (1, at("2024-01-01 00:00:00"), 5), (1, at("2024-01-01 00:15:00"), 8),
         (2, at("2024-01-01 00:00:00"), 5), (2, at("2024-01-02 00:00:00"), 9)]
@@ -46,3 +47,24 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     query = ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "fresh"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_files_of_both_kinds_keep_all_rows(spark, tmp_path):
+    put(tmp_path / "in/20240101T000000Z.json", "\n".join(" " + json.dumps(envelope(station(n), station(n + 1))) for n in (1, 3)))
+    put(tmp_path / "in/20240101T001500Z.json", envelope(station(1)), indent=2)
+    assert run(spark, tmp_path).count() == 5
+
+
+def test_a_file_of_several_spanning_documents_fails(spark, tmp_path):
+    two = "\n".join(json.dumps(envelope(station(n)), indent=1) for n in (1, 2))
+    put(tmp_path / "in/20240101T000000Z.json", two)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        run(spark, tmp_path)
+
+
+def test_a_replay_without_station_adds_nothing(spark, tmp_path):
+    put(tmp_path / "in/20240101T000000Z.json", envelope(station(1), station(None)))
+    assert run(spark, tmp_path).count() == 2
+    query = ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "fresh"))
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
