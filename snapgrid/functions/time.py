@@ -53,13 +53,15 @@ def floor_to(us: Column | str, width: int, origin: int = 0) -> Column:
 
 
 def bucket(ts: Column | str, step_min: int) -> Column:
-    """Start of the ``step_min`` bucket holding the NTZ timestamp ``ts``.
+    """Start of the ``step_min`` bucket holding the NTZ timestamp ``ts``; NULL for NULL.
 
     The built-in time window is the cheapest form, and like all of Spark a
     query may use only one of them per projection.
     """
     shift = BUCKET_ORIGIN // MINUTE % step_min
-    return F.window(_col(ts), f"{step_min} minutes", startTime=f"{shift} minutes").start
+    # the window would drop rows without a time
+    start = F.window(F.coalesce(_col(ts), F.expr(_EPOCH)), f"{step_min} minutes", startTime=f"{shift} minutes").start
+    return F.when(_col(ts).isNotNull(), start)
 
 
 def minute_number(ts: Column | str) -> Column:

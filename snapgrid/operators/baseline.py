@@ -66,7 +66,7 @@ def target_pairs(status: DataFrame, step_min: int = 15, horizon_min: int = 60, t
     later = Window.partitionBy("station_id").orderBy("us").rangeBetween(ahead, ahead)
     held = on_grid(latest_per_bucket(status, step_min, value), status, step_min)
     return (
-        held.where("n_bikes IS NOT NULL")
+        held.where("n_bikes IS NOT NULL AND station_id IS NOT NULL")
         .withColumn("us", micros("ts"))
         .withColumn("y", F.max("n_bikes").over(later))
         .where("y IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Invariants a cleaned history and its forecasting target should meet."""
+"""Invariants that a cleaned history, its stored grid and its stored target should meet."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import MINUTE, from_micros
-from snapgrid.operators.baseline import horizon_cells, target
+from snapgrid.functions.time import MINUTE, micros
+from snapgrid.operators.baseline import horizon_cells
 from snapgrid.operators.timegrid import grid_bounds
 
 
@@ -24,37 +24,41 @@ def values_out_of_range(status: DataFrame, low: int = 0, high: int = 100,
     return status.agg(F.count_if(~F.col(value).between(low, high)).alias("n_violations"))
 
 
-def grid_violations(status: DataFrame, step_min: int = 15, horizon_min: int = 60,
-                    value: str = "num_bikes_available") -> DataFrame:
-    """One row ``(grid_hole, late_target)`` counted over the target table.
+def grid_holes(status: DataFrame, grid: DataFrame, step_min: int = 15) -> DataFrame:
+    """Number of cells that the history asks for and ``grid`` lacks.
 
-    A hole is a step of the grid that a station lacks; a late target is a ``y``
-    within the horizon of the grid's end.
+    ``grid`` has ``(station_id, ts)``.  Each of its cells counts once, however often it is there, and only where it is a
+    step of the history; so neither a repeated cell nor a foreign one hides a hole.  The wanted cells are never built:
+    every station wants as many as there are steps.
     """
-    width = step_min * MINUTE
-    open_from = F.col("t0") + (F.col("n_steps") - horizon_cells(step_min, horizon_min)) * width
-    bounds = grid_bounds(status, step_min).select("n_steps", from_micros(open_from).alias("open_from"))
-    per_station = (
-        target(status, step_min, horizon_min, value=value)
-        .crossJoin(F.broadcast(bounds))
-        .groupBy("station_id", "n_steps").agg(
-            F.count("*").alias("cells"),
-            F.count_if((F.col("ts") >= F.col("open_from")) & F.col("y").isNotNull()).alias("late"))
-    )
-    return per_station.agg(
-        F.coalesce(F.sum(F.abs(F.col("n_steps") - F.col("cells"))), F.lit(0)).alias("grid_hole"),
-        F.coalesce(F.sum("late"), F.lit(0)).alias("late_target"),
+    bounds = F.broadcast(grid_bounds(status, step_min))  # one row
+    offset, width = micros("ts") - F.col("t0"), F.lit(step_min * MINUTE)
+    on_step = (F.pmod(offset, width) == 0) & (offset >= 0) & (offset < F.col("n_steps") * width)
+    held = (grid.crossJoin(bounds).where(on_step).select(F.col("station_id").alias("key"), "ts").distinct()
+            .groupBy("key").agg(F.count("*").alias("n")))
+    stations = status.select("station_id").distinct()
+    return (
+        stations.join(held, F.col("station_id").eqNullSafe(F.col("key")), "left").crossJoin(bounds)
+        .agg(F.coalesce(F.sum(F.col("n_steps") - F.coalesce("n", F.lit(0))), F.lit(0)).alias("n_violations"))
     )
 
 
-def dq_checks(status: DataFrame, step_min: int = 15, horizon_min: int = 60,
+def late_targets(status: DataFrame, target: DataFrame, step_min: int = 15, horizon_min: int = 60) -> DataFrame:
+    """Number of rows of ``target``, ``(ts, y)``, with a later value where the history has ended by then."""
+    bounds = F.broadcast(grid_bounds(status, step_min))  # one row
+    open_from = F.col("t0") + (F.col("n_steps") - horizon_cells(step_min, horizon_min)) * F.lit(step_min * MINUTE)
+    late = (micros("ts") >= open_from) & F.col("y").isNotNull()
+    return target.crossJoin(bounds).agg(F.count_if(late).alias("n_violations"))
+
+
+def dq_checks(status: DataFrame, grid: DataFrame, target: DataFrame, step_min: int = 15, horizon_min: int = 60,
               value: str = "num_bikes_available") -> DataFrame:
-    """One row per invariant: check name and number of violations."""
-    grid = grid_violations(status, step_min, horizon_min, value).select(
-        F.expr("stack(2, 'grid_hole', grid_hole, 'late_target', late_target) AS (check, n_violations)"))
-    named = [
-        duplicate_keys(status).select(F.lit("duplicate_key").alias("check"), "n_violations"),
-        values_out_of_range(status, value=value).select(F.lit("value_range").alias("check"), "n_violations"),
-        grid,
-    ]
-    return reduce(DataFrame.unionByName, named)
+    """One row per invariant: check name and number of violations in the given tables."""
+    named = {
+        "duplicate_key": duplicate_keys(status),
+        "value_range": values_out_of_range(status, value=value),
+        "grid_hole": grid_holes(status, grid, step_min),
+        "late_target": late_targets(status, target, step_min, horizon_min),
+    }
+    return reduce(DataFrame.unionByName, [
+        found.select(F.lit(name).alias("check"), "n_violations") for name, found in named.items()])

@@ -47,12 +47,13 @@ def run_gaps(status: DataFrame) -> DataFrame:
     """``(jour, gap, n)``: how often each gap (microseconds) precedes a run of a day.
 
     A gap belongs to the day of its later run; the first run has a NULL gap.
+    Rows without a time are one run of the day NULL, with a NULL gap.
     The chain of runs is never ordered in one task: gaps come from inside each
     minute, then between the minutes of a day (at most 1440 rows), then between
     days (one row per day, the only unpartitioned window).  All three read the
     same shuffle of distinct instants.
     """
-    instants = status.where("fetched_at IS NOT NULL").select("fetched_at").distinct().select(micros("fetched_at").alias("t"))
+    instants = status.select("fetched_at").distinct().select(micros("fetched_at").alias("t"))
     minute = Window.partitionBy(floor_to("t", MINUTE)).orderBy("t")
     inner = instants.select("t", (F.col("t") - F.lag("t").over(minute)).alias("gap")).where("gap IS NOT NULL")
     between_minutes = _edge_gaps(instants, DAY, MINUTE).where("gap IS NOT NULL")

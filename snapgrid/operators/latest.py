@@ -30,13 +30,16 @@ def latest_per_bucket(status: DataFrame, step_min: int = 15, value: str = "num_b
                       tie_break: bool = False) -> DataFrame:
     """``(station_id, ts, n_bikes)``: last observation in each time bucket, NULL value included.
 
+    Rows without a time share the bucket NULL, with the value NULL, so that their stations are not lost.
+
     A hash aggregation combined map-side, so copies and hot buckets shrink
     before the shuffle.  Which of several different values at one instant
     counts is open, unless ``tie_break`` takes the greatest; that sorts all
     rows and takes about twice as long.
     """
-    seen = status.where("fetched_at IS NOT NULL").select(
-        "station_id", bucket("fetched_at", step_min).alias("ts"), "fetched_at", F.col(value).alias("n_bikes"))
+    known = F.when(F.col("fetched_at").isNotNull(), F.col(value))
+    seen = status.select(
+        "station_id", bucket("fetched_at", step_min).alias("ts"), "fetched_at", known.alias("n_bikes"))
     if tie_break:
         return latest_per_key(seen, ["station_id", "ts"], "fetched_at", ["n_bikes"]).drop("fetched_at")
     return seen.groupBy("station_id", "ts").agg(F.max_by("n_bikes", "fetched_at").alias("n_bikes"))

@@ -50,6 +50,7 @@ def observed_buckets(status: DataFrame, step_min: int = 15, value: str = "num_bi
 
     ``cell`` is the first grid cell at or after the bucket; ``n_bikes`` is kept
     only if the bucket is that cell.  ``t0`` and ``n_steps`` describe the grid.
+    A NULL station is on the grid and never observed; a row without a time has no cell.
     """
     width = F.lit(step_min * MINUTE)
     offset = micros("ts") - F.col("t0")
@@ -59,7 +60,7 @@ def observed_buckets(status: DataFrame, step_min: int = 15, value: str = "num_bi
         latest_per_bucket(status, step_min, value)
         .crossJoin(F.broadcast(grid_bounds(status, step_min)))
         .select("station_id", "t0", "n_steps", cell.alias("cell"),
-                F.when(rest == 0, F.col("n_bikes")).alias("n_bikes"))
+                F.when((rest == 0) & F.col("station_id").isNotNull(), F.col("n_bikes")).alias("n_bikes"))
     )
 
 
@@ -70,17 +71,20 @@ def fill_cells(observed: DataFrame, step_min: int, values: Sequence[str]) -> Dat
     ``observed`` has ``(station_id, t0, n_steps, cell, *values)``.  Each of its
     cells emits itself and the empty cells up to the station's next one, so
     neither a scaffold nor a join is built; the first one also emits the empty
-    cells before it.  Rows on the same cell are merged.  The window sees at
-    most a few rows per station and step.
+    cells before it.  Rows on the same cell are merged; rows without a cell
+    count only where a station has no others, and then emit all its cells
+    once.  The window sees at most a few rows per station and step.
     """
     per_station = Window.partitionBy("station_id").orderBy("cell")
     same_cell = per_station.rangeBetween(0, 0)
     first = F.lag("cell").over(per_station).isNull()
     following = F.coalesce(F.lead("cell").over(per_station), F.col("n_steps"))
+    # NULL cells come first, so the last row has one only if all have
+    stands = F.col("cell").isNotNull() | F.lead(F.lit(1)).over(per_station).isNull()
     spans = observed.select(
         "station_id", "t0", "n_steps", F.col("cell").alias("own"),
         F.when(first, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("cell"))).alias("low"),
-        F.least(following, F.col("n_steps")).alias("high"),
+        F.when(stands, F.least(following, F.col("n_steps"))).alias("high"),
         *[F.max(v).over(same_cell).alias(v) for v in values],
     ).where("low < high")
     width = F.lit(step_min * MINUTE)
@@ -103,8 +107,9 @@ def grid(status: DataFrame, step_min: int = 15, value: str = "num_bikes_availabl
 
 
 def observed_cells(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
-    """Per station the number of grid cells that hold a value; stations without one get 0."""
-    held = latest_per_bucket(status, step_min, value)
+    """Per station the number of grid cells that hold a value; stations without one, and the NULL station, get 0."""
+    held = latest_per_bucket(status, step_min, value).withColumn(
+        "n_bikes", F.when(F.col("station_id").isNotNull(), F.col("n_bikes")))
     if aligned(step_min):
         return held.groupBy("station_id").agg(F.count("n_bikes").alias("remplies"))
     width = F.lit(step_min * MINUTE)

@@ -46,6 +46,21 @@ def run_status(spark: SparkSession, sf_dir: str, step_min: int = 15) -> DataFram
     return status(spark, sf_dir).withColumn("fetched_at", bucket("fetched_at", step_min))
 
 
+def gappy_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status rows of which some lack their time or station; every tenth station has no time at all."""
+    untimed = (F.col("event_id") % 11 == 0) | (F.col("station_id") % 10 == 7)
+    return status(spark, sf_dir).withColumns({
+        "fetched_at": F.when(~untimed, F.col("fetched_at")),
+        "station_id": F.when(F.col("event_id") % 13 != 0, F.col("station_id"))})
+
+
+def damaged_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status rows with copies, and with counts beyond any station."""
+    whole = status(spark, sf_dir)
+    bikes = F.when(F.col("event_id") % 70 == 3, F.lit(200)).otherwise(F.col("num_bikes_available"))
+    return whole.unionByName(whole.where("event_id % 50 = 0")).withColumn("num_bikes_available", bikes)
+
+
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("station_id"), F.col("o_orderdate").alias("fetched_at"),

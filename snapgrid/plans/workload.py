@@ -56,6 +56,16 @@ def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency(standin.status(spark, sf_dir), standin.info(spark, sf_dir), TIES)
 
 
+def _damaged_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid that lost an hour of some stations and repeats another, and a target with values after the history's end."""
+    configure(spark)
+    whole = timegrid.grid(standin.status(spark, sf_dir))
+    torn = whole.where("station_id % 7 <> 3 OR hour(ts) <> 5").unionByName(whole.where("station_id % 7 = 3 AND hour(ts) = 6"))
+    filled = F.coalesce("y", F.when((F.col("station_id") % 5 == 1) & F.col("y_imputed").isNull(), F.lit(1)))
+    target = baseline.target(standin.status(spark, sf_dir)).withColumn("y", filled)
+    return checks.dq_checks(standin.damaged_status(spark, sf_dir), torn, target)
+
+
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return _rounded(audit(standin.status(spark, sf_dir), standin.info(spark, sf_dir), ties=TIES), "value")
@@ -162,7 +172,13 @@ QUERIES: dict[str, Query] = {
     "mae_by_slot_fixed_offset": _on_status(
         lambda s: baseline.persistence_mae_by_slot(baseline.target_pairs(s, tz="fixed+2"))),
     "verdicts": _verdicts,
-    "dq_checks": _on_status(checks.dq_checks),
+    "dq_checks": _damaged_checks,
+    "cadence_daily_nulls": _on_status(coverage.cadence, standin.gappy_status),
+    "grid_cells_nulls": _on_status(timegrid.grid, standin.gappy_status),
+    "grid_fill_nulls": _on_status(timegrid.fill_rate, standin.gappy_status),
+    "worst_holes_nulls": _on_status(timegrid.worst_holes, standin.gappy_status),
+    "target_cells_nulls": _on_status(baseline.target, standin.gappy_status),
+    "target_pairs_nulls": _on_status(baseline.target_pairs, standin.gappy_status),
     "envelope_flatten": lambda spark, sf_dir: flat_status(_stamped(spark, sf_dir)),
     "type_merge_last_wins": lambda spark, sf_dir: landed_rows(_stamped(spark, sf_dir)).select(
         "station_id", "stationCode", "mechanical", "ebike"),

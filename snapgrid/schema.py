@@ -68,8 +68,12 @@ def is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StructType, T.MapType, T.ArrayType))
 
 
+# A time of day followed by a zone: Z, or an offset from UTC.
+ZONED = r":\d{1,2}(\.\d+)?\s*([Zz]|[+-]\d{1,2}(:\d{2})?)\s*$"
+
+
 def to_ntz(c: Column, dtype: T.DataType) -> Column:
-    """UTC wall clock of an instant, epoch seconds, date, text or NTZ column."""
+    """UTC wall clock of an instant, epoch seconds, date, text or NTZ column; text may name its offset from UTC."""
     if isinstance(dtype, T.TimestampNTZType):
         return c
     if isinstance(dtype, T.TimestampType):
@@ -78,6 +82,9 @@ def to_ntz(c: Column, dtype: T.DataType) -> Column:
         return from_micros(c.cast("bigint") * SECOND)
     if isinstance(dtype, T.FractionalType):
         return from_micros(F.round(c.cast("double") * float(SECOND)).cast("bigint"))
+    if isinstance(dtype, T.StringType):
+        instant = from_micros(F.unix_micros(F.when(c.rlike(ZONED), c).cast("timestamp")))
+        return F.when(c.rlike(ZONED), instant).otherwise(F.when(~c.rlike(ZONED), c).cast("timestamp_ntz"))
     return c.cast("timestamp_ntz")
 
 

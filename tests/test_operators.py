@@ -13,6 +13,7 @@ from snapgrid.operators.freshness import freshness
 from snapgrid.operators.islands import frozen, frozen_agreement, islands
 from snapgrid.operators.latest import latest_per_bucket, latest_per_key
 from snapgrid.plans import oracle
+from snapgrid.schema import canonicalise
 
 SECONDS = dt.timedelta(seconds=1)
 
@@ -58,7 +59,7 @@ def test_cadence_equals_one_global_lag(make_status, sql_on, seed):
                        minutes=rng.choice([0, 1, 700, rng.randrange(1440)]), microseconds=rng.randrange(59_000_000)), 1)
             for _ in range(200)]
     status = make_status(rows + rows[:40])
-    sql = "WITH " + oracle._gaps("status") + "SELECT * FROM cadence"
+    sql = "WITH " + oracle._cadence("status") + "SELECT * FROM cadence"
     assert rows_of(coverage.cadence(status)) == sql_on(status, sql)
 
 
@@ -125,10 +126,8 @@ def test_islands_with_several_values_at_one_instant(make_status, sql_on, seed):
     rows = [status_row(rng.randrange(2), at("2024-01-01 00:30:00") + dt.timedelta(minutes=20 * rng.randrange(12)),
                        rng.randrange(2)) for _ in range(40)]
     status = make_status(rows)
-    # peers share the running sum; ties are ordered by value in both
-    sql = "WITH " + oracle.ISLANDS.replace(
-        "(PARTITION BY station_id ORDER BY fetched_at) AS before",
-        "(PARTITION BY station_id ORDER BY fetched_at, num_bikes_available) AS before")
+    # values of one instant are ordered by value, and share an island
+    sql = "WITH " + oracle.ISLANDS
     got = rows_of(islands(status), "station_id", "valeur", "n_obs", "debut", "fin")
     assert got == sql_on(status, sql + "SELECT station_id, valeur, n_obs, debut, fin FROM islands")
 
@@ -167,6 +166,10 @@ def test_grid_equals_the_scaffold_join(make_status, sql_on, seed, step):
     sql = "WITH " + oracle._grid(step)
     assert rows_of(timegrid.grid(status, step)) == sql_on(status, sql + "SELECT * FROM grid")
     assert rows_of(timegrid.fill_rate(status, step)) == sql_on(status, sql + "," + oracle.FILL + "SELECT * FROM fill")
+    if step > 60:
+        with pytest.raises(ValueError, match="horizon"):
+            baseline.target(status, step)
+        return
     columns = "station_id, ts, n_bikes, is_imputed, y, y_imputed, h_paris"
     cells = baseline.target(status, step)
     assert rows_of(cells) == sql_on(status, sql + f"SELECT {columns} FROM target")
@@ -213,11 +216,36 @@ def test_slots_cover_every_hour(spark):
 
 # -- checks and profile -------------------------------------------------------
 
-def test_dq_checks_find_duplicates_and_range(make_status):
+def test_dq_checks_find_what_is_wrong_in_the_given_tables(make_status):
     status = make_status([status_row(1, "2024-01-01 00:00:00", 5), status_row(1, "2024-01-01 00:00:00", 5),
                           status_row(1, "2024-01-01 03:00:00", 500), status_row(2, "2024-01-01 03:00:00", None)])
-    found = dict(rows_of(checks.dq_checks(status)))
+    grid, target = timegrid.grid(status), baseline.target(status)
+    found = dict(rows_of(checks.dq_checks(status, grid, target)))
     assert found == {"duplicate_key": 1, "value_range": 1, "grid_hole": 0, "late_target": 0}
+    # a repeated cell and a foreign one do not stand in for a lost one, and a lost station lacks all 13 cells
+    lost = grid.where("station_id = 1 AND hour(ts) <> 1")
+    torn = lost.unionByName(lost).unionByName(lost.withColumn("ts", F.expr("ts + INTERVAL 1 DAY")))
+    filled = target.withColumn("y", F.lit(3))
+    found = dict(rows_of(checks.dq_checks(status, torn, filled)))
+    assert found == {"duplicate_key": 1, "value_range": 1, "grid_hole": 4 + 13, "late_target": 2 * 4}
+
+
+def test_null_times_and_stations_keep_the_grid_whole(make_status):
+    status = make_status([status_row(1, "2024-01-01 00:00:00", 4), status_row(1, "2024-01-01 00:30:00", 5),
+                          status_row(2, None, 6), status_row(2, None, 7), status_row(None, "2024-01-01 00:15:00", 8)])
+    cells = timegrid.grid(status)
+    assert cells.count() == 9 and cells.where("NOT is_imputed").count() == 2
+    assert rows_of(timegrid.fill_rate(status)) == [(9, 22.22)]
+    assert rows_of(timegrid.worst_holes(status)) == [(1, 33.3), (2, 100.0), (None, 100.0)]
+    assert baseline.target(status).count() == 9
+    assert [r[1] for r in rows_of(coverage.cadence(status))] == [3, 1]
+
+
+def test_text_times_with_an_offset_become_utc(spark):
+    texts = ["2024-07-01T10:00:00+02:00", "2024-07-01 10:00:00Z", "2024-07-01 10:00:00.5", "2024-07-01", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "station_id bigint, fetched_at string")
+    got = [r.fetched_at for r in canonicalise(df).orderBy("station_id").collect()]
+    assert got == [at("2024-07-01 08:00:00"), at("2024-07-01 10:00:00"), at("2024-07-01 10:00:00.5"), at("2024-07-01"), None]
 
 
 def test_conformance_names_what_is_missing(spark):
