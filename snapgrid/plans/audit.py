@@ -17,6 +17,7 @@ from snapgrid.operators.freshness import freshness
 from snapgrid.operators.islands import frozen, frozen_agreement
 from snapgrid.operators.timegrid import fill_rate
 from snapgrid.schema import INFO, LANDED_RENAMES, STATUS, canonicalise
+from snapgrid.session import located
 from snapgrid.sources.readers import read_snapshots
 from snapgrid.sources.sinks import write_report
 
@@ -82,9 +83,13 @@ def _long(section: str, row: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: int = 15,
-                  horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = ()) -> DataFrame:
+                  horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = (),
+                  slice_min: int = 10, unique: bool = False) -> DataFrame:
     """Every figure of the audit as ``(section, metric, value)``.
 
+    ``unique`` says that no (station, time) has two rows, which saves a shuffle; ``slice_min`` is the length of the slices
+    that frozen sensors are looked for in.
+
     Each section reads the few columns it needs and reduces them to a handful
     of rows; only those are united here.
     """
@@ -95,7 +100,7 @@ def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: in
     shares = {f"part_{c}": ratio(F.col(c), F.col("n")) for c in counts}
     values = consistency(status, info, ties).withColumns(shares)
 
-    agreement = frozen_agreement(frozen(status)).withColumnRenamed("n_stations", "n_stations_6h")
+    agreement = frozen_agreement(frozen(status, slice_min=slice_min, unique=unique)).withColumnRenamed("n_stations", "n_stations_6h")
     errors = slot_errors(target_pairs(status, step_min, horizon_min, tz))
     by_slot = mae_of_slots(errors).select(
         F.lit("baseline").alias("section"), F.concat(F.lit("mae "), "creneau").alias("metric"),
@@ -118,18 +123,21 @@ def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: in
 
 
 def audit(status: DataFrame, info: DataFrame | None = None, step_min: int = 15,
-          horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = ()) -> DataFrame:
+          horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = (),
+          slice_min: int = 10, unique: bool = False) -> DataFrame:
     """Audit report: ``(section, metric, value, verdict)``."""
-    return verdicts(audit_metrics(status, info, step_min, horizon_min, tz, ties))
+    return verdicts(audit_metrics(status, info, step_min, horizon_min, tz, ties, slice_min, unique))
 
 
 def run_audit(spark: SparkSession, status: str, dest: str, info: str | None = None, *, start: str | None = None,
-              end: str | None = None, step_min: int = 15, tz: str = "Europe/Paris", fmt: str = "parquet") -> None:
+              end: str | None = None, step_min: int = 15, tz: str = "Europe/Paris", fmt: str = "parquet",
+              slice_min: int = 10, unique: bool = False) -> None:
     """Audit stored snapshots and store the report.
 
     ``status`` and ``info`` are Parquet folders or globs; their columns are
-    brought to the canonical ones first.
+    brought to the canonical ones first.  Of reference rows at one instant the greatest capacity counts.
     """
     history = canonicalise(read_snapshots(spark, status, ".parquet", start=start, end=end), STATUS, LANDED_RENAMES)
     reference = None if info is None else canonicalise(read_snapshots(spark, info, ".parquet"), INFO, LANDED_RENAMES)
-    write_report(audit(history, reference, step_min, tz=tz).coalesce(1), dest, fmt)
+    report = audit(history, reference, step_min, tz=tz, ties=["capacity"], slice_min=slice_min, unique=unique)
+    write_report(report.coalesce(1), located(dest), fmt)

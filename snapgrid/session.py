@@ -33,6 +33,11 @@ def object_store_settings(endpoint: str, key: str, secret: str) -> dict[str, str
     }
 
 
+def located(path: str) -> str:
+    """The path as Spark's file systems name it: ``s3://`` is ``s3a://``."""
+    return path.replace("s3://", "s3a://", 1) if path.startswith("s3://") else path
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the cluster's shared checkpoint folder, or below the warehouse where none is set.
 

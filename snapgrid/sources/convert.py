@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from snapgrid.functions.feed import stamp_of
 from snapgrid.operators.envelope import flat_status, landed_rows, stations_path
+from snapgrid.session import located
 from snapgrid.sources.discover import discover
 from snapgrid.sources.readers import FORMATS, read_snapshots
 from snapgrid.sources.sinks import rows_below, write_by_date
@@ -64,6 +65,7 @@ def convert(spark: SparkSession, src: str, dest: str, ext: str | None = None, *,
     Each date that the input holds, even in part, is replaced as a whole.  A file whose name carries no collection stamp fails the job, unless
     ``bad_stamps`` names a folder where its rows are kept instead.
     """
+    dest, bad_stamps = located(dest), bad_stamps and located(bad_stamps)
     raw = read_snapshots(spark, src, ext, schema=schema, multiline=multiline, provenance=True)
     if bad_stamps is None or "fetched_at" in raw.columns:
         return _write(flat_status(raw), dest)
@@ -97,4 +99,5 @@ def land(envelopes: DataFrame, dest: str, ingested_at: Column | None = None) ->
     if not empty.limit(1).isEmpty():
         raise EmptyFeed("a feed lists no station")
     rows = landed_rows(envelopes, ingested_at).withColumn("date", F.to_date("ingested_at"))
+    dest = located(dest)
     return _write(_new(rows, dest, "ingested_at"), dest, "append")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapgrid.session import located
 from snapgrid.sources.readers import FORMATS, split_pattern
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length)`` of every file with a known extension; no content is read."""
-    root, _ = split_pattern(root)
+    root, _ = split_pattern(located(root))
     known = ",".join(ext.lstrip(".") for ext in FORMATS)
     return (
         spark.read.format("binaryFile")
@@ -26,7 +27,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     ``root``; files directly in the root, or in its own ``date=`` folders,
     form the dataset ``"."``.
     """
-    base = split_pattern(root)[0].rstrip("/")
+    base = split_pattern(located(root))[0].rstrip("/")
     base = base.split(":", 1)[1] if base.startswith("file:") else base
     at = F.locate(base + "/", F.col("path"))
     inside = F.when(at > 0, F.substr(F.col("path"), at + F.lit(len(base) + 1))).otherwise(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapgrid.functions.feed import is_document
+from snapgrid.session import located
 from snapgrid.sources.drift import read_drifted
 
 # The reader each extension is given to.
@@ -87,8 +88,7 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
     ``provenance`` adds the source path as ``filename``.  Pass ``schema`` for
     large CSV or JSON inputs: inferring one reads the data first.
     """
-    paths = [p.replace("s3://", "s3a://", 1) if p.startswith("s3://") else p
-             for p in ([path] if isinstance(path, str) else path)]
+    paths = [located(p) for p in ([path] if isinstance(path, str) else path)]
     ext = ext or extension(paths[0])
     if ext not in FORMATS:
         raise UnsupportedFormat(f"no reader for {ext or 'a path without extension'!r}: {paths[0]}")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from snapgrid.functions.feed import is_document
 from snapgrid.operators.envelope import flat_status
 from snapgrid.schema import ENVELOPE, STATUS
+from snapgrid.session import located
 
 KEY = ["station_id", "fetched_at"]
 
@@ -65,6 +66,7 @@ def ingest_stream(spark: SparkSession, landing: str, dest: str, checkpoint: str,
     Rows are unique by (station_id, fetched_at).  Each batch is compared with
     what its dates already hold, so a row is kept however late it comes.
     """
+    landing, dest, checkpoint = located(landing), located(dest), located(checkpoint)
     rows = read_landing(spark, landing, schema, multiline=multiline, max_files=max_files)
     # an empty append makes the folder, so that the first batch can look into it
     spark.createDataFrame([], STATUS).write.mode("append").partitionBy("date").parquet(dest)

@@ -16,6 +16,7 @@ from snapgrid.plans.audit import run_audit
 from snapgrid.plans.inspection import inspect_tree
 from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, between_dates,
                                        read_snapshots)
+from snapgrid.session import located
 from snapgrid.sources.sinks import write_report
 
 
@@ -277,3 +278,8 @@ def test_quarantine_holds_a_file_once(spark, tmp_path):
     for _ in range(2):
         convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), ".json", bad_stamps=str(tmp_path / "bad"))
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_object_store_paths_are_named_as_spark_names_them():
+    assert located("s3://feed/raw") == "s3a://feed/raw"
+    assert located("s3a://feed/s3://x") == "s3a://feed/s3://x" and located("/data/s3") == "/data/s3"
