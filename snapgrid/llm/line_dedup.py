@@ -2,7 +2,8 @@
 
 Lines are split at ``\\n``, normalised (spaces stripped at both ends, A-Z lowered) and hashed to 128 bits.  A key of at
 least ``min_chars`` code points held by at least ``min_docs`` distinct documents loses its lines everywhere except in the
-greatest id that holds it.  Only hashes are shuffled to count; the texts move once, to meet their own list of keys.
+greatest id that holds it.  Only hashes are shuffled to count; the texts move once, to meet their own list of keys,
+which is binned so that the work for one text of n lines grows with n to the power 1.5 at most.
 
 Defined cases: a NULL or empty text is one empty line; rows that share an id are one document; rows without an id are one
 document, below all others; an empty table gives no rows; a document may lose all its lines and then has an empty text;
@@ -35,6 +36,16 @@ def _key(line: Column, min_chars: int) -> Column:
     return F.element_at(F.transform(F.array(_normalised(line)), hashed), 1)
 
 
+def _bins(keys: Column) -> Column:
+    """The keys in as many bins as the root of their number, so that a look-up in a very long text's list stays short."""
+    count = F.ceil(F.sqrt(F.size(keys))).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.filter(keys, lambda k: F.pmod(k["a"], count) == b))
+
+
+def _binned(bins: Column, key: Column) -> Column:
+    return F.array_contains(F.element_at(bins, (F.pmod(key["a"], F.size(bins)) + 1).cast("int")), key)
+
+
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                       min_docs: int = MIN_DOCS) -> DataFrame:
     """Each input row as struct ``row``, with ``lines`` (before) and ``kept`` (after), both arrays in the text's order."""
@@ -44,12 +55,12 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = (held.groupBy("key").agg(F.count("*").alias("holders"), F.max("id").alias("keeper"))
               .where(F.col("holders") >= min_docs).select("key", "keeper"))
     losing = (held.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
-              .groupBy("id").agg(F.collect_list("key").alias("drop")))
+              .groupBy("id").agg(F.collect_list("key").alias("drop")).select("id", _bins(F.col("drop")).alias("drop")))
     rows = docs.select(F.struct("*").alias("row"), lines.alias("lines"), F.col(id_col).alias("row_id"))
     met = rows.join(losing, F.col("row_id").eqNullSafe(F.col("id")), "left")
     keyed = F.transform(F.col("lines"), lambda line: F.struct(line.alias("line"), _key(line, min_chars).alias("key")))
     kept = F.transform(
-        F.filter(keyed, lambda x: x["key"].isNull() | ~F.array_contains(F.col("drop"), x["key"])), lambda x: x["line"])
+        F.filter(keyed, lambda x: x["key"].isNull() | ~_binned(F.col("drop"), x["key"])), lambda x: x["line"])
     return met.select("row", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
 
 
