@@ -152,3 +152,22 @@ def op9_chat(spark, sf_dir: str) -> DataFrame:
     return stored.select(F.col("tree").alias("conv_id"), "formatted", "loss").mapInPandas(
         _read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
                     "formatted_chars bigint")
+
+
+OP9_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body, coalesce(role, '') = 'assistant' AS trained,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM said
+), sized AS (
+  SELECT *, replace(replace(replace(role || body, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;') AS written FROM numbered
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(body)) FILTER (WHERE trained), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE trained), '')) AS loss_sha256,
+  sum(length(written) + length('<|turn|><|body|><|end|>'))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

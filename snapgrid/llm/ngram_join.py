@@ -302,3 +302,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+# The same by all pairs that share a shingle, for small tables.
+OP1_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(words[i:i + {SHINGLE} - 1], ' ')
+    FOR i IN range(1, greatest(len(words) - {SHINGLE} + 1, least(len(words), 1)) + 1)]) AS gram
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), near AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE n >= {SIMILARITY} * (s.size + t.size - n)
+), reached AS (
+  SELECT a, b FROM near UNION SELECT r.a, n.b FROM reached r JOIN near n ON n.a = r.b
+)
+SELECT d.doc_id, least(d.doc_id, min(r.b)) AS class_id, (SELECT count(*) FROM near WHERE near.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id
+"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from snapgrid.llm.chat import op9_chat
+from snapgrid.llm.chat import OP9_SQL, op9_chat
 from snapgrid.llm.common import table
 from snapgrid.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from snapgrid.llm.fingerprints import op7_fingerprints
 from snapgrid.llm.line_dedup import OP4_SQL, op4_line_dedup
 from snapgrid.llm.mixing import op2_mixing
-from snapgrid.llm.ngram_join import op1_ngram_join
+from snapgrid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from snapgrid.llm.pieces import op10_sentencepiece
 from snapgrid.llm.sharding import SHARDS, place
 from snapgrid.llm.token_store import op8_token_store
@@ -35,6 +35,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_ngram_join": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op9_chat": OP9_SQL,
 }

@@ -68,6 +68,12 @@ def test_lines_of_random_documents(spark):
     assert kept_lines(spark.createDataFrame(rows, "doc_id bigint, text string")) == plain_lines(rows)
 
 
+def test_text_of_many_shared_lines(spark):
+    text = "\n".join(f"line {number} of many shared lines" for number in range(3000))
+    rows = [(1, text), (2, "own\n" + text + "\nmore"), (3, text)]
+    assert kept_lines(spark.createDataFrame(rows, "doc_id bigint, text string")) == plain_lines(rows)
+
+
 def test_nothing_from_nothing(spark, docs):
     empty = docs.limit(0)
     assert line_dedup.drop_shared_lines(empty).count() == 0
@@ -204,7 +210,7 @@ def test_mix_of_the_documents(spark):
     assert all(abs(taken[s] - aims[s]) <= largest / 2 for s in aims)
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op4_line_dedup", "op5_exact_dedup", "op9_chat"])
 def test_queries_equal_their_sql(spark, driver_tables, name):
     found = driver.queries()[name](spark, SF_DIR)
     oracle = driver_tables.sql(driver.oracle_sql()[name])
