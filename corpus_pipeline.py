@@ -40,7 +40,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document of the mix, and the text that they decode to."""
     session(spark)
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "lang", "text")))
+    coded = pieces.round_trip(docs.select("doc_id", "source", "lang", "text"))
     return coded.select("row.doc_id", "row.source", "row.lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -67,6 +67,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_00
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on and share the executor's memory
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

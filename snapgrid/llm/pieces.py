@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from snapgrid.llm.common import slices, table
 
 MARK = "▁"
-TABLE_ROWS = 400_000
+TABLE_ROWS = 250_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -33,7 +34,7 @@ def model_path() -> str:
 
 
 class ChunkTable:
-    """Ids of distinct chunks; the chunk is given without its first marker, which the library adds itself."""
+    """Ids of distinct chunks, as bytes; the chunk is given without its first marker, which the library adds itself."""
 
     def __init__(self, path: str, most: int = TABLE_ROWS):
         import sentencepiece
@@ -55,14 +56,13 @@ class ChunkTable:
         if len(self.ids) > self.most:
             self.ids.clear()
         new = [chunk for chunk in chunks if chunk not in self.ids]
-        self.ids.update(zip(new, map(tuple, self.pieces.encode(new, num_threads=1))))
-        self.ids[""] = (self.pieces.piece_to_id(MARK),)
+        self.ids.update((chunk, array("i", ids).tobytes()) for chunk, ids in zip(new, self.pieces.encode(new, num_threads=1)))
+        self.ids[""] = array("i", [self.pieces.piece_to_id(MARK)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.chunks(text or "") for text in texts]
-        self.learn({chunk for chunks in cut for chunk in chunks})
-        found = self.ids
-        return [[i for chunk in chunks for i in found[chunk]] for chunks in cut]
+        self.learn(set().union(*cut))
+        return [array("i", b"".join(map(self.ids.__getitem__, chunks))).tolist() for chunks in cut]
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -108,6 +108,16 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(row, ids, decoded): both in one pass, so that a task needs one worker with one table."""
+    def rows(known: ChunkTable, texts: list[str | None]) -> list[pa.Array]:
+        ids = known.encode(texts)
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(known.pieces.decode, ids), pa.string())]
+
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return _mapped(docs, text_col, added, path or model_path(), rows)
+
+
 def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """(row, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, only digests leave it."""
     def sha(text: str) -> str:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import __spark_entry__ as driver
-from conftest import SF_DIR
+from conftest import SF_DIR, rows_of
 from snapgrid.llm import common, fingerprints, pieces, token_store
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \nb", "a\n b", "a▁b ▁ c", "▁", "don't 'll 've", "1 23  4\t5", "　a b",
@@ -95,7 +95,8 @@ def test_decoded_rows(spark, chunk_table):
     for row in pieces.decode(pieces.encode(docs)).collect():
         ids = chunk_table.pieces.encode(row["row"]["text"] or "")
         assert row["ids"] == ids and row["decoded"] == chunk_table.pieces.decode(ids)
-    assert pieces.encode(docs.limit(0)).count() == 0
+    assert rows_of(pieces.round_trip(docs)) == rows_of(pieces.decode(pieces.encode(docs)))
+    assert pieces.encode(docs.limit(0)).count() == pieces.round_trip(docs.limit(0)).count() == 0
 
 
 def test_queries_like_the_libraries(spark, word_table, chunk_table):
