@@ -12,8 +12,9 @@ are counted and chained without a list of pairs ever being made.  Sketches choos
 whole sets decide.  Chains of links form classes, by iterated joins.
 
 Defined cases: a NULL text or one without words has no shingles, no links and a class of its own; a text of one to four words has
-one shingle; rows with equal sets link to each other; NULL ids are the greatest; a document is known by its id in class
-names; an empty table gives no rows; other columns are kept, whatever their names.
+one shingle; rows with equal sets link to each other; NULL ids are the greatest; a class is told from others by its least
+set and only named by its least id, which classes can share where ids are NULL or repeated; an empty table gives no rows;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.llm.common import materialise, mixed, shingle_hashes, slices, table
+from snapgrid.llm.common import WORD, materialise, mixed, shingle_hashes, slices, table
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -245,7 +246,7 @@ def _sets_of(shingle: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
-    """(id, text_hash, set, class_id, n_links): every row's class (its least id) and number of near documents."""
+    """(id, text_hash, set, least, class_id, n_links): every row's class (its least set and least id) and number of near documents."""
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"),
                         F.xxhash64(text_col).alias("text_hash"))
     id_type = texts.schema["id"].dataType.simpleString()
@@ -278,25 +279,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("set", "copies", "first", F.coalesce("least", "set").alias("least"), F.coalesce("links", F.lit(0)).alias("links")))
     heads = named.groupBy("least").agg(F.min("first").alias("head"))
     named = materialise(named.join(heads, "least").select(
-        "set", F.col("head.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
+        "set", "least", F.col("head.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
     out = rows.select("id", "text_hash", "set").join(named, "set", "left")
-    return out.select("id", "text_hash", "set", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("id", "text_hash", "set", "least", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of one document of each class, the least id; rows without shingles stay."""
-    found = near_duplicates(docs, id_col, text_col, **more)
-    whose = F.when(F.col("set").isNull(), F.struct(F.lit(True), F.col("id"), F.col("text_hash")))
+    """The rows of one document of each class, the least id; rows without shingles stay, all of them."""
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    found = near_duplicates(docs.where(worded), id_col, text_col, **more)
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
-    classed = found.where("set IS NOT NULL").groupBy("class_id").agg(F.min(first).alias("first"))
-    stay = classed.select("first.id", "first.text_hash").union(found.where("set IS NULL").select("id", "text_hash")).distinct()
-    stay = materialise(stay.select(F.col("id").alias("stay_id"), F.col("text_hash").alias("stay_hash")), "stay")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    stay = found.groupBy("least").agg(F.min(first).alias("first"))
+    stay = materialise(stay.select(F.col("first.id").alias("stay_id"), F.col("first.text_hash").alias("stay_hash")), "stay")
+    rows = docs.where(worded).select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
     kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
     # rows equal in id and text are one document
     copy = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy(F.xxhash64("row")))
-    return kept.withColumn("copy", copy).where("copy = 1").select("row.*")
+    return kept.withColumn("copy", copy).where("copy = 1").select("row.*").union(docs.where(~worded))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -97,6 +97,16 @@ def test_one_of_each_class_stays(spark, crowd):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((c for c, in classes), key=str)
 
 
+def test_classes_that_share_an_id_stay_apart(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey",
+                  "north east south west up down")
+    rows = [(None, a), (None, b), (None, a.upper()), (7, c), (7, d), (8, d), (None, None), (None, None), (None, " "), (9, ""), (9, "")]
+    session(spark)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, c), (7, d), (None, ""), (None, ""), (None, " "), (9, ""), (9, "")], key=str)
+
+
 def test_nothing_from_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert found(df) == [] and ngram_join.keep_one(df).count() == 0
