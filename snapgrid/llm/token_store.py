@@ -9,7 +9,8 @@ and a byte each that is 1 for NULL); first token of each document (u64, one more
 chunks (u64), chunks (u8), bitmap, and directory (u32).  Files are written and read through Spark's own writers and readers,
 so they can lie in any store.  A segment holds about ``SEGMENT`` tokens, however large a task's part.
 
-Defined cases: NULL is the empty text, which has the end id only; NULL ids come first; rows that share an id are ordered
+Defined cases: NULL is the empty text, which has the end id only; the string of an added token is that token, as the library
+has it by default; NULL ids come first; rows that share an id are ordered
 by text; a text longer than a segment fills one of its own; an empty table makes no segment.
 """
 
@@ -46,7 +47,8 @@ class WordTable:
     """Ids of distinct space-led words by the tokenizers library.
 
     The library's own pre-tokenizer never joins characters across a single blank or line feed that stands between two
-    others, so such words are encoded alone.  A text with other white space at a word's edge is given to the library whole.
+    others, so such words are encoded alone.  A text with other white space at a word's edge is given to the library whole,
+    and so is one with the string of an added token, which the library makes that token.
     """
 
     def __init__(self, path: str, most: int = TABLE_ROWS):
@@ -54,7 +56,7 @@ class WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         names = [name or "" for name in names]
         # pieces that begin with a blank, and with a line feed
@@ -85,7 +87,7 @@ class WordTable:
         found.update(zip(begins, self.alone(begins, "\n")))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_split(text) for text in texts]
+        cut = [["", ""] if any(token in text for token in self.added) else _split(text) for text in texts]
         if len(self.ids) > self.most:
             self.ids.clear()
         if new := list(set().union(*cut).difference(self.ids)):

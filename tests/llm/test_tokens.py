@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
 from conftest import SF_DIR, rows_of
@@ -86,6 +87,21 @@ def test_stored_tokens(spark, word_table, tmp_path, segment):
         start += len(ids)
 
 
+def test_added_tokens_like_a_fresh_library(word_table, spark, tmp_path):
+    fresh = Tokenizer.from_file(token_store.model_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z", "a <|endoftext| > b", "plain words here", *ODD]
+    want = [fresh.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in word_table.encode(texts)] == want
+    common.session(spark)
+    token_store.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), f"{tmp_path}/store")
+    start, got = 0, token_store.located(token_store.read_tokens(spark, f"{tmp_path}/store")).orderBy("start").collect()
+    for doc, (found, row) in enumerate(zip(want, got, strict=True)):
+        ids = np.array([*found, 2], "<u4")
+        assert (row["id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
