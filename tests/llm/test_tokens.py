@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -141,6 +142,31 @@ def test_sketches_merge_and_estimate():
     assert (fingerprints.containment(none, none), fingerprints.containment(none, a), fingerprints.containment(a, none)) == (1, 0, 0)
 
 
+def plain_share(part, whole):
+    def grams(text):
+        words = [w for w in re.split("[ \t-\r]+", text) if w]
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    a, b = grams(part), grams(whole)
+    return len(a & b) / len(a) if a else float(not b)
+
+
+def test_shares_of_all_lengths(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 50, size)) for size in [*range(60), 300, 513, 700, 5000, 8000]]
+    texts += [texts[20], texts[20] + " more", texts[-1], " ".join(texts[-1].split(" ")[50:60])]
+    common.session(spark)
+    got = fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text, following = texts[r["id"]], texts[(r["id"] + 1) % len(texts)]
+        assert r["near_edited"] == pytest.approx(plain_share(text, fingerprints.edited(text, following)))
+        assert r["near_next"] == pytest.approx(plain_share(text, following))
+    short = [texts[n] for n in range(1, 40)]
+    for a, b, text, following in zip(fingerprints.sketches(short), fingerprints.sketches(short[1:]), short, short[1:]):
+        assert len(a) and fingerprints.containment(a, b) == pytest.approx(plain_share(text, following))
+
+
 @pytest.mark.parametrize("parts", [1, 7, 60])
 def test_neighbours(spark, parts):
     rows = sorted(((r["doc_id"], r["text"]) for r in documents(spark).collect()),
