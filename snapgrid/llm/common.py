@@ -92,9 +92,9 @@ def _powers(base: int, count: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
-    coded = [text.encode("utf-8", "surrogatepass") for text in texts]
+    coded = [text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass") for text in texts]
     data = np.frombuffer(b"\n".join(coded) + b"\n", dtype=np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.diff(np.concatenate(([True], space)).view(np.int8))
@@ -108,7 +108,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def shingle_hashes(texts: list[str], width: int = 5) -> list[np.ndarray]:
+def shingle_hashes(texts: list[str] | list[bytes], width: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word n-grams; a shorter text has one, of all its words."""
     hashes, counts = word_hashes(texts)
     total = len(hashes)

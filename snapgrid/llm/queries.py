@@ -6,7 +6,10 @@ from snapgrid.llm.chat import OP9_SQL, op9_chat
 from snapgrid.llm.common import table
 from snapgrid.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from snapgrid.llm.fingerprints import op7_fingerprints
+from snapgrid.llm.lexical import OP12_SQL, op12_lexical_search
 from snapgrid.llm.line_dedup import OP4_SQL, op4_line_dedup
+from snapgrid.llm.merkle import OP13_SQL, op13_merkle
+from snapgrid.llm.minhash import OP11_SQL, op11_minhash
 from snapgrid.llm.mixing import op2_mixing
 from snapgrid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from snapgrid.llm.pieces import op10_sentencepiece
@@ -32,6 +35,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_minhash": op11_minhash,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE = {
@@ -39,4 +45,7 @@ ORACLE = {
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_chat": OP9_SQL,
+    "op11_minhash": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }
