@@ -1,7 +1,7 @@
 """SQL for each registered query, by another method than the operator's.
 
 Predecessors come from ASOF joins, islands from their change points, quantiles from positions in the sorted list, the grid
-from set differences, later values from a join one horizon ahead.
+from set differences, later values from each station's list of cells, shifted by one horizon.
 """
 
 from __future__ import annotations
@@ -127,7 +127,9 @@ frozen AS (SELECT hours AS seuil_heures, count(*) AS n_plages, count(DISTINCT st
 
 def _grid(step: int = 15) -> str:
     """Cells that hold a value, and all others as what the set of cells has beyond them."""
-    ahead = f"to_minutes({60 // step * step})"
+    steps_ahead = 60 // step
+    ahead = f"to_minutes({steps_ahead * step})"
+    shifted = "list_resize({}, len(held))"
     return f"""
 obs AS (SELECT station_id, time_bucket(INTERVAL {step} MINUTE, fetched_at) AS ts,
                arg_max_null(num_bikes_available, fetched_at) AS n_bikes
@@ -141,10 +143,12 @@ filled AS (SELECT station_id, ts, n_bikes FROM obs
 grid AS (SELECT station_id, ts, n_bikes, false AS is_imputed FROM filled
          UNION ALL
          SELECT station_id, ts, NULL, true FROM (FROM cells EXCEPT SELECT station_id, ts FROM filled)),
-target AS (SELECT here.station_id, here.ts, here.n_bikes, here.is_imputed, later.n_bikes AS y, later.is_imputed AS y_imputed,
-                  hour((here.ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris') AS h_paris
-           FROM grid here LEFT JOIN grid later
-             ON later.station_id IS NOT DISTINCT FROM here.station_id AND later.ts = here.ts + {ahead}),
+series AS (SELECT c.station_id, list(c.ts ORDER BY c.ts) AS at_ts, list(n_bikes ORDER BY c.ts) AS held
+           FROM cells c LEFT JOIN filled f ON f.station_id = c.station_id AND f.ts = c.ts GROUP BY c.station_id),
+target AS (SELECT *, n_bikes IS NULL AS is_imputed, hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris') AS h_paris
+           FROM (SELECT station_id, unnest(at_ts) AS ts, unnest(held) AS n_bikes,
+                        unnest({shifted.format(f"held[{steps_ahead + 1}:]")}) AS y,
+                        unnest({shifted.format(f"[x IS NULL FOR x IN held[{steps_ahead + 1}:]]")}) AS y_imputed FROM series)),
 pairs AS (SELECT here.station_id, here.ts, here.n_bikes, false AS is_imputed, later.n_bikes AS y, false AS y_imputed,
                  hour((here.ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris') AS h_paris
           FROM filled here JOIN filled later ON later.station_id = here.station_id AND later.ts = here.ts + {ahead})"""

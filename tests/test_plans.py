@@ -6,12 +6,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
 from conftest import SF_DIR, status_row
 from snapgrid.plans.audit import AGREE, BAD, DIVERGE, GOOD, LIMITS, WATCH, audit, verdicts
+from snapgrid.plans.workload import QUERIES
 
 WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "csv_json_roundtrip", "union_by_name", "discover_files"}
-PLANNED = sorted(set(driver.queries()) - WRITES_FIRST)
+PLANNED = sorted(set(QUERIES) - WRITES_FIRST)
 
 
 def plan_of(df) -> str:
@@ -25,14 +25,14 @@ def final_plan(df) -> str:
 
 @pytest.mark.parametrize("name", PLANNED)
 def test_no_python_and_no_cartesian_product(spark, name):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     for word in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups"):
         assert word not in plan
 
 
 @pytest.mark.parametrize("name", PLANNED)
 def test_nested_loops_only_meet_one_row_aggregates(spark, name):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR)).splitlines()
+    plan = plan_of(QUERIES[name](spark, SF_DIR)).splitlines()
     for i, line in enumerate(plan):
         if "BroadcastNestedLoopJoin" not in line:
             continue
@@ -50,36 +50,36 @@ def test_nested_loops_only_meet_one_row_aggregates(spark, name):
 
 
 def test_latest_reference_limits_groups_before_the_shuffle(spark):
-    plan = plan_of(driver.queries()["latest_reference"](spark, SF_DIR))
+    plan = plan_of(QUERIES["latest_reference"](spark, SF_DIR))
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 
 
 @pytest.mark.parametrize("name", ["obs_latest_per_bucket", "frozen_sensors", "target_pairs", "grid_fill"])
 def test_hot_path_uses_hash_aggregation(spark, name):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 @pytest.mark.parametrize("name,reused,scans", [("cadence_daily_events", 2, 1), ("freshness", 2, 2)])
 def test_levels_share_one_shuffle(spark, name, reused, scans):
-    plan = final_plan(driver.queries()[name](spark, SF_DIR))
+    plan = final_plan(QUERIES[name](spark, SF_DIR))
     assert plan.count("ReusedExchange") == reused
     assert plan.count("FileScan") == scans
 
 
 def test_grid_has_neither_join_nor_extra_shuffle(spark):
-    plan = plan_of(driver.queries()["grid_cells"](spark, SF_DIR))
+    plan = plan_of(QUERIES["grid_cells"](spark, SF_DIR))
     assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 2
 
 
 def test_top_k_is_not_a_full_sort(spark):
-    assert "TakeOrderedAndProject" in plan_of(driver.queries()["worst_holes_top5"](spark, SF_DIR))
+    assert "TakeOrderedAndProject" in plan_of(QUERIES["worst_holes_top5"](spark, SF_DIR))
 
 
 @pytest.mark.parametrize("name,columns", [("stations_daily", {"ts", "user_id"}), ("stations_gone", {"ts", "user_id"}),
                                           ("cadence_daily", {"ts"}), ("profile_bounds", {"ts", "user_id"})])
 def test_only_needed_columns_are_read(spark, name, columns):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     read = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan)
             for c in schema.split(",") if c}
     assert read == columns
