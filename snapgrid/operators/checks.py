@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.time import MINUTE, micros
@@ -24,6 +24,18 @@ def values_out_of_range(status: DataFrame, low: int = 0, high: int = 100,
     return status.agg(F.count_if(~F.col(value).between(low, high)).alias("n_violations"))
 
 
+def held_steps(cells: DataFrame, step: Column) -> DataFrame:
+    """(key, n): how many different steps, numbered from 0, each station of ``cells`` has; a NULL step is none.
+
+    Steps become bits of 64-bit words that are combined before the shuffle, so one row moves for 64 cells, however often a cell is
+    there.
+    """
+    words = (cells.select(F.col("station_id").alias("key"), step.alias("step")).where("step IS NOT NULL")
+             .groupBy("key", F.shiftright("step", 6).alias("word"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("step", F.lit(64)).cast("int"))).alias("bits")))
+    return words.groupBy("key").agg(F.sum(F.bit_count("bits")).alias("n"))
+
+
 def grid_holes(status: DataFrame, grid: DataFrame, step_min: int = 15) -> DataFrame:
     """Number of cells that the history asks for and ``grid`` lacks.
 
@@ -34,8 +46,7 @@ def grid_holes(status: DataFrame, grid: DataFrame, step_min: int = 15) -> DataFr
     bounds = F.broadcast(grid_bounds(status, step_min))  # one row
     offset, width = micros("ts") - F.col("t0"), F.lit(step_min * MINUTE)
     on_step = (F.pmod(offset, width) == 0) & (offset >= 0) & (offset < F.col("n_steps") * width)
-    held = (grid.crossJoin(bounds).where(on_step).select(F.col("station_id").alias("key"), "ts").distinct()
-            .groupBy("key").agg(F.count("*").alias("n")))
+    held = held_steps(grid.crossJoin(bounds), F.when(on_step, (offset / width).cast("bigint")))
     stations = status.select("station_id").distinct()
     return (
         stations.join(held, F.col("station_id").eqNullSafe(F.col("key")), "left").crossJoin(bounds)

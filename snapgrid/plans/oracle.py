@@ -306,8 +306,11 @@ ORACLE = {
     "type_merge_last_wins": _with(FEED) + "SELECT * FROM last_wins",
     "landed_snapshots": _with(FEED) + """SELECT l.station_id, mechanical, ebike, run AS ingested_at
         FROM last_wins l JOIN f ON f.event_id = l.station_id""",
+    "land_two_runs": _with(FEED) + """SELECT l.station_id, mechanical, ebike, run AS ingested_at
+        FROM last_wins l JOIN f ON f.event_id = l.station_id""",
     "convert_roundtrip": _with(FEED) + "SELECT * FROM first_wins",
     "stream_ingest": _with(FEED) + "SELECT * FROM first_wins",
+    "stream_repeated": _with(FEED) + "SELECT * FROM first_wins",
     "stamp_from_filename": """
         SELECT event_id, 'raw/status/date=' || strftime(ts, '%Y-%m-%d') || '/' || strftime(ts, '%Y%m%dT%H%M%S') || 'Z.json'
                AS filename, date_trunc('second', ts) AS fetched_at FROM events""",

@@ -21,6 +21,7 @@ from snapgrid.schema import ENVELOPE
 from snapgrid.session import configure, scratch_dir
 from snapgrid.sources.convert import convert
 from snapgrid.sources.discover import discover
+from snapgrid.sources.landing import land, landed, stage
 from snapgrid.sources.readers import read_snapshots
 from snapgrid.streaming.ingest import ingest_stream
 
@@ -59,11 +60,14 @@ def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _damaged_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid that lost an hour of some stations and repeats another, and a target with values after the history's end."""
     configure(spark)
-    whole = timegrid.grid(standin.status(spark, sf_dir))
-    torn = whole.where("station_id % 7 <> 3 OR hour(ts) <> 5").unionByName(whole.where("station_id % 7 = 3 AND hour(ts) = 6"))
-    filled = F.coalesce("y", F.when((F.col("station_id") % 5 == 1) & F.col("y_imputed").isNull(), F.lit(1)))
-    target = baseline.target(standin.status(spark, sf_dir)).withColumn("y", filled)
-    return checks.dq_checks(standin.damaged_status(spark, sf_dir), torn, target)
+    path = scratch_dir(spark, "target")
+    baseline.target(standin.status(spark, sf_dir)).select("station_id", "ts", "y", "y_imputed").write.parquet(path)
+    stored = spark.read.parquet(path)
+    lost, doubled = "station_id % 7 = 3 AND hour(ts) = 5", "station_id % 7 = 3 AND hour(ts) = 6"
+    copies = F.when(F.expr(lost), 0).when(F.expr(doubled), 2).otherwise(1)
+    torn = stored.select("station_id", "ts", F.explode(F.array_repeat(F.lit(True), copies)).alias("copy"))
+    late = F.when((F.col("station_id") % 5 == 1) & F.col("y_imputed").isNull(), F.lit(1))
+    return checks.dq_checks(standin.damaged_status(spark, sf_dir), torn, stored.withColumn("y", F.coalesce("y", late)))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +90,27 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(dest)
 
 
+def _repeated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive twice, in other batches and in another run, some of them behind the watermark."""
+    landing, dest, checkpoint = scratch_dir(spark, "landing"), scratch_dir(spark, "stream"), scratch_dir(spark, "checkpoint")
+    envelopes = standin.envelopes(configure(spark), sf_dir).hint("rebalance", "stamp")
+    for folder, part in (("a", "day(date) % 2 = 0"), ("b", "day(date) % 3 <> 0"), ("c", "true")):
+        envelopes.where(part).write.partitionBy("date", "stamp").json(f"{landing}/{folder}")
+        ingest_stream(spark, landing, dest, checkpoint).awaitTermination()
+    return spark.read.parquet(dest)
+
+
+def _land_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's envelopes in two calls that overlap, both repeated, one of them cut off before it was published."""
+    dest, whole = scratch_dir(spark, "landed"), _stamped(spark, sf_dir)
+    part = F.xxhash64("last_updated") % 4
+    first, second = whole.where(part <= 0), whole.where(part >= 0)
+    stage(first, dest)
+    for envelopes in (first, second, first, second):
+        land(envelopes, dest)
+    return landed(spark, dest).select("station_id", "mechanical", "ebike", "ingested_at")
+
+
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
     second = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
@@ -184,6 +209,7 @@ QUERIES: dict[str, Query] = {
         "station_id", "stationCode", "mechanical", "ebike"),
     "landed_snapshots": lambda spark, sf_dir: landed_rows(_stamped(spark, sf_dir)).select(
         "station_id", "mechanical", "ebike", "ingested_at"),
+    "land_two_runs": _land_two_runs,
     "convert_roundtrip": _convert_roundtrip,
     "stamp_from_filename": _stamps,
     "profile_bounds": _on_status(profile.bounds),
@@ -192,6 +218,7 @@ QUERIES: dict[str, Query] = {
     "csv_json_roundtrip": _formats,
     "union_by_name": _drifted,
     "stream_ingest": _stream_ingest,
+    "stream_repeated": _repeated_stream,
     "discover_files": _discover,
     "preview_nested": _preview,
 }

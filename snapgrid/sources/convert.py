@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapgrid.functions.feed import stamp_of
-from snapgrid.operators.envelope import flat_status, landed_rows, stations_path
+from snapgrid.operators.envelope import flat_status
 from snapgrid.session import located
 from snapgrid.sources.discover import discover
 from snapgrid.sources.readers import FORMATS, read_snapshots
@@ -32,27 +32,23 @@ class Written:
 def _held(spark: SparkSession, dest: str) -> int:
     try:
         return rows_below(spark, dest)
-    except AnalysisException:  # nothing is there yet
+    except AnalysisException:  # nothing is there
         return 0
 
 
-def _write(rows: DataFrame, dest: str, mode: str = "overwrite") -> Written:
-    if rows.isEmpty():  # an observed plan without rows would give no count
-        return Written(0, _held(rows.sparkSession, dest))
+def _write(rows: DataFrame, dest: str) -> Written:
+    """Replace the dates of the rows.  The input is read once; what the job wrote it has counted itself."""
     seen = Observation("written")
-    write_by_date(rows.observe(seen, F.count(F.lit(1)).alias("n")), dest, mode)
-    return Written(seen.get["n"], rows_below(rows.sparkSession, dest))
+    write_by_date(rows, dest, seen=seen)
+    return Written(seen.get["n"], _held(rows.sparkSession, dest))
 
 
 def _new(rows: DataFrame, dest: str, key: str) -> DataFrame:
-    """The rows whose key the destination does not hold yet, in their own dates if it is kept by date."""
+    """The rows whose key the destination does not hold yet."""
     try:
         held = rows.sparkSession.read.parquet(dest)
     except AnalysisException:  # nothing is there yet
         return rows
-    if "date" in rows.columns:
-        days = [row["date"] for row in rows.select("date").distinct().collect()]  # bounded by the calendar
-        held = held.where(F.col("date").isin(days))
     seen = held.select(F.col(key).alias("held_key")).distinct()
     return rows.join(seen, F.col(key).eqNullSafe(F.col("held_key")), "left_anti")
 
@@ -82,22 +78,3 @@ def convert_first(spark: SparkSession, root: str, dest: str, **options) -> Writt
         return None
     base = root.rstrip("/") if found["dataset"] == "." else f"{root.rstrip('/')}/{found['dataset']}"
     return convert(spark, f"{base}/**/*{found['ext']}", dest, **options)
-
-
-def land(envelopes: DataFrame, dest: str, ingested_at: Column | None = None) -> Written:
-    """Store feed envelopes as the collector's flat rows, in ``date=`` folders.
-
-    Earlier runs of a date stay; a run (by its ``ingested_at``) that is stored
-    already is not stored again.  ``ingested_at`` defaults to the stamp in
-    ``filename``.  An envelope without
-    stations aborts before anything is written.
-    """
-    path = stations_path(envelopes.schema)
-    if path is None:
-        raise ValueError("landing needs a feed envelope with a station list")
-    empty = envelopes.where(F.coalesce(F.size(F.col(path)), F.lit(0)) <= 0)
-    if not empty.limit(1).isEmpty():
-        raise EmptyFeed("a feed lists no station")
-    rows = landed_rows(envelopes, ingested_at).withColumn("date", F.to_date("ingested_at"))
-    dest = located(dest)
-    return _write(_new(rows, dest, "ingested_at"), dest, "append")

@@ -10,7 +10,7 @@ from conftest import SF_DIR, status_row
 from snapgrid.plans.audit import AGREE, BAD, DIVERGE, GOOD, LIMITS, WATCH, audit, verdicts
 from snapgrid.plans.workload import QUERIES
 
-WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "csv_json_roundtrip", "union_by_name", "discover_files"}
+WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "stream_repeated", "land_two_runs", "dq_checks", "csv_json_roundtrip", "union_by_name", "discover_files"}
 PLANNED = sorted(set(QUERIES) - WRITES_FIRST)
 
 

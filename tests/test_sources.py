@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 import pathlib
 
@@ -10,10 +11,11 @@ from pyspark.sql import types as T
 from conftest import at, rows_of
 from snapgrid.operators.envelope import flat_status, flatten_envelope, landed_rows
 from snapgrid.schema import ENVELOPE, INFO, LANDED_RENAMES, STATUS, canonicalise
-from snapgrid.sources.convert import EmptyFeed, convert, convert_first, land
+from snapgrid.sources.convert import EmptyFeed, convert, convert_first
 from snapgrid.sources.discover import discover
 from snapgrid.plans.audit import run_audit
 from snapgrid.plans.inspection import inspect_tree
+from snapgrid.sources.landing import land, landed, publish, stage
 from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, between_dates,
                                        read_snapshots)
 from snapgrid.session import located
@@ -202,7 +204,7 @@ def test_landing_keeps_feed_fields_and_refuses_an_empty_feed(spark, tmp_path):
     put(tmp_path / "in/20240101T000000Z.json", envelope(station(1, extra="kept"), lastUpdatedOther=0))
     df = read_snapshots(spark, str(tmp_path / "in"), ".json", provenance=True)
     assert land(df, str(tmp_path / "out")).rows == 1
-    row = spark.read.parquet(str(tmp_path / "out")).first()
+    row = landed(spark, str(tmp_path / "out")).first()
     assert (row.extra, row.mechanical, row.feed_last_updated) == ("kept", 3, 1704067260)
     assert "num_bikes_available_types" not in row.asDict()
     put(tmp_path / "in/20240101T001500Z.json", envelope())
@@ -273,6 +275,33 @@ def test_landing_keeps_earlier_runs_of_a_day(spark, tmp_path):
     assert (written.rows, written.total) == (0, 2)
 
 
+def test_a_run_lands_in_several_calls_and_only_once(spark, tmp_path):
+    def call(name, *stations):
+        put(tmp_path / name / "20240101T000000Z.json", envelope(*stations, lastUpdatedOther=0))
+        return read_snapshots(spark, str(tmp_path / name), ".json", provenance=True)
+
+    dest = str(tmp_path / "out")
+    first, second = call("a", station(1), station(2)), call("b", station(2), station(3, 7))
+    name, manifest = stage(first, dest)  # cut off before it is published
+    assert landed(spark, dest) is None and (land(first, dest).rows, land(first, dest).rows) == (2, 0)
+    assert rows_of(landed(spark, dest), "station_id") == [(1,), (2,)]
+    name, manifest = stage(second, dest)
+    assert rows_of(landed(spark, dest), "station_id") == [(1,), (2,)]
+    publish(manifest, dest, name)
+    written = land(second, dest)
+    assert (written.rows, written.total) == (0, 3)
+    assert rows_of(landed(spark, dest), "station_id", "date") == [(n, dt.date(2024, 1, 1)) for n in (1, 2, 3)]
+    assert landed(spark, dest, [dt.date(2025, 1, 1)]) is None
+
+
+def test_calls_with_other_columns_are_united(spark, tmp_path):
+    dest = str(tmp_path / "out")
+    for at_hour, more in ((0, {"extra": 1}), (1, {"extra": 1.5, "other": "x"})):
+        put(tmp_path / f"{at_hour}/20240101T0{at_hour}0000Z.json", envelope(station(1, **more), lastUpdatedOther=0))
+        land(read_snapshots(spark, str(tmp_path / f"{at_hour}"), ".json", provenance=True), dest, call=f"hour-{at_hour}")
+    assert rows_of(landed(spark, dest), "extra", "other") == [(1.0, None), (1.5, "x")]
+
+
 def test_quarantine_holds_a_file_once(spark, tmp_path):
     put(tmp_path / "in/unnamed.json", envelope(station(1)))
     for _ in range(2):

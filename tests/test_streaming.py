@@ -6,7 +6,7 @@ import shutil
 import pytest
 
 from conftest import at, rows_of
-from snapgrid.streaming.ingest import ingest_stream
+from snapgrid.streaming.ingest import ingest_stream, late_rows
 from test_sources import envelope, put, station
 
 
@@ -38,6 +38,39 @@ def test_a_very_late_file_is_kept(spark, tmp_path):
     run(spark, tmp_path)
     put(tmp_path / "in/20230101T000000Z.json", envelope(station(1)))
     assert run(spark, tmp_path).count() == 2
+    (tmp_path / "in/again").mkdir()
+    for name in ("20230101T000000Z.json", "20240301T000000Z.json"):  # one behind the watermark, one known to the state
+        shutil.copy(tmp_path / "in" / name, tmp_path / "in/again" / name)
+    assert run(spark, tmp_path).count() == 2
+    assert [r["fetched_at"] for r in late_rows(spark, str(tmp_path / "out")).collect()] == [at("2023-01-01 00:00:00")] * 2
+
+
+def test_the_state_alone_knows_recent_keys(spark, tmp_path):
+    first = put(tmp_path / "in/20240101T000000Z.json", envelope(station(1), station(2)))
+    run(spark, tmp_path)
+    (tmp_path / "in/again").mkdir()
+    put(tmp_path / "in/20240101T001500Z.json", envelope(station(1)))  # a batch of its own, compared with what is stored
+    shutil.rmtree(tmp_path / "out")  # nothing left to compare with
+    shutil.copy(first, tmp_path / "in/again/20240101T000000Z.json")
+    out = run(spark, tmp_path, max_files=1)
+    assert rows_of(out, "station_id", "fetched_at") == [(1, at("2024-01-01 00:15:00"))]
+    assert late_rows(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_a_lost_checkpoint_is_made_up_for_in_every_batch(spark, tmp_path):
+    for hour in range(3):
+        put(tmp_path / f"in/20240101T0{hour}0000Z.json", envelope(station(1), station(2)))
+    run(spark, tmp_path)
+    query = ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "fresh"), max_files=1)
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_repeats_within_and_across_batches(spark, tmp_path):
+    put(tmp_path / "in/20240101T000000Z.json", envelope(station(1), station(1), station(2)))
+    put(tmp_path / "in/a/20240101T000000Z.json", envelope(station(2), station(3)))
+    put(tmp_path / "in/b/20240105T000000Z.json", envelope(station(2), station(2)))
+    assert run(spark, tmp_path, max_files=1).count() == 4
 
 
 def test_a_replayed_batch_adds_nothing(spark, tmp_path):
