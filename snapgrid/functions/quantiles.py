@@ -44,17 +44,17 @@ def _narrow(counts: DataFrame, part: str) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, interval: Column, qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, interval: Column, qs: Sequence[float], counts: DataFrame | None = None) -> DataFrame:
     """One row with column ``q`` = array of quantiles in seconds (double), in the order of ``qs``.
 
     The only unpartitioned window runs over one row per day of interval
     length, a number set by the span of the values and not by how many there
     are; the other windows hold at most 86,400 seconds and 2,000,000 distinct
     microseconds per wanted rank.  The broadcast lists have two rows per
-    quantile: the ranks around it.
+    quantile: the ranks around it.  ``counts`` are the :func:`second_counts` where they are known.
     """
     # A key that cannot be NULL keeps join conditions from being pushed below the shared shuffle.
-    seconds = second_counts(df, interval).withColumn("day", F.coalesce(
+    seconds = (second_counts(df, interval) if counts is None else counts).withColumn("day", F.coalesce(
         F.col("second") - F.pmod("second", F.lit(DAY_SECONDS)), F.lit(0)))
 
     so_far = Window.orderBy("day")

@@ -62,9 +62,15 @@ def target_pairs(status: DataFrame, step_min: int = 15, horizon_min: int = 60, t
     A window range of exactly one horizon looks the later cell up.  Its groups
     hold at most one row per station and step.
     """
+    return target_pairs_of(latest_per_bucket(status, step_min, value), status, step_min, horizon_min, tz)
+
+
+def target_pairs_of(latest: DataFrame, runs: DataFrame, step_min: int = 15, horizon_min: int = 60,
+                    tz: str = "Europe/Paris") -> DataFrame:
+    """The same from (station_id, ts, n_bikes) of each bucket; ``runs`` has every ``fetched_at``, or the first and the last."""
     ahead = horizon_cells(step_min, horizon_min) * step_min * MINUTE
     later = Window.partitionBy("station_id").orderBy("us").rangeBetween(ahead, ahead)
-    held = on_grid(latest_per_bucket(status, step_min, value), status, step_min)
+    held = on_grid(latest, runs, step_min)
     return (
         held.where("n_bikes IS NOT NULL AND station_id IS NOT NULL")
         .withColumn("us", micros("ts"))

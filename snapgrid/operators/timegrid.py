@@ -108,26 +108,35 @@ def grid(status: DataFrame, step_min: int = 15, value: str = "num_bikes_availabl
 
 def observed_cells(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
     """Per station the number of grid cells that hold a value; stations without one, and the NULL station, get 0."""
-    held = latest_per_bucket(status, step_min, value).withColumn(
-        "n_bikes", F.when(F.col("station_id").isNotNull(), F.col("n_bikes")))
+    return observed_cells_of(latest_per_bucket(status, step_min, value), status, step_min)
+
+
+def observed_cells_of(latest: DataFrame, runs: DataFrame, step_min: int = 15) -> DataFrame:
+    """The same from (station_id, ts, n_bikes) of each bucket; ``runs`` has every ``fetched_at``, or the first and the last."""
+    held = latest.withColumn("n_bikes", F.when(F.col("station_id").isNotNull(), F.col("n_bikes")))
     if aligned(step_min):
         return held.groupBy("station_id").agg(F.count("n_bikes").alias("remplies"))
     width = F.lit(step_min * MINUTE)
     offset = micros("ts") - F.col("t0")
     inside = (F.pmod(offset, width) == 0) & (offset >= 0) & (offset < F.col("n_steps") * width)
     return (
-        held.crossJoin(F.broadcast(grid_bounds(status, step_min)))
+        held.crossJoin(F.broadcast(grid_bounds(runs, step_min)))
         .groupBy("station_id").agg(F.count(F.when(inside, F.col("n_bikes"))).alias("remplies"))
     )
 
 
 def fill_rate(status: DataFrame, step_min: int = 15, value: str = "num_bikes_available") -> DataFrame:
     """Number of grid cells and the percentage observed, counted without building the grid."""
-    totals = observed_cells(status, step_min, value).agg(
+    return fill_rate_of(latest_per_bucket(status, step_min, value), status, step_min)
+
+
+def fill_rate_of(latest: DataFrame, runs: DataFrame, step_min: int = 15) -> DataFrame:
+    """The same from (station_id, ts, n_bikes) of each bucket and rows with the first and last ``fetched_at``."""
+    totals = observed_cells_of(latest, runs, step_min).agg(
         F.count("*").alias("stations"), F.coalesce(F.sum("remplies"), F.lit(0)).alias("remplies"))
     cells = F.coalesce(F.col("stations") * F.col("n_steps"), F.lit(0)).alias("cases")
     return (
-        totals.crossJoin(F.broadcast(grid_bounds(status, step_min)))
+        totals.crossJoin(F.broadcast(grid_bounds(runs, step_min)))
         .select(cells, "remplies")
         .select("cases", percent(F.col("remplies"), F.col("cases"), 2).alias("pct_remplies"))
     )

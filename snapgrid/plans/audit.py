@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapgrid.functions.numbers import ratio
-from snapgrid.operators.baseline import mae_of, mae_of_slots, slot_errors, target_pairs
-from snapgrid.operators.consistency import COUNTS, consistency
-from snapgrid.operators.coverage import (cadence, cadence_summary, keys_amplitude, keys_gone, keys_per_day, volume)
+from snapgrid.operators.baseline import mae_of, mae_of_slots, slot_errors, target_pairs_of
+from snapgrid.operators.consistency import COUNTS, consistency_of
+from snapgrid.operators.coverage import cadence, cadence_summary, keys_amplitude, keys_gone, keys_per_day, volume_of
+from snapgrid.operators.daystate import ages_of, buckets_of, day_state, runs_of, stations_of
 from snapgrid.operators.freshness import freshness
 from snapgrid.operators.islands import frozen, frozen_agreement
-from snapgrid.operators.timegrid import fill_rate
+from snapgrid.operators.timegrid import fill_rate_of
 from snapgrid.schema import INFO, LANDED_RENAMES, STATUS, canonicalise
-from snapgrid.session import located
+from snapgrid.session import located, scratch_dir
 from snapgrid.sources.readers import read_snapshots
 from snapgrid.sources.sinks import write_report
 
@@ -82,40 +83,49 @@ def _long(section: str, row: DataFrame, names: Sequence[str]) -> DataFrame:
     return row.select(F.lit(section).alias("section"), F.expr(f"stack({len(names)}, {pairs}) AS (metric, value)"))
 
 
+def _state(status: DataFrame, step_min: int) -> DataFrame:
+    """The state of all days in the shared scratch folder, so that its consumers do not read the history again."""
+    path = scratch_dir(status.sparkSession, "audit-state")
+    day_state(status, step_min).write.partitionBy("kind").parquet(path)
+    return status.sparkSession.read.parquet(path)
+
+
 def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: int = 15,
                   horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = (),
-                  slice_min: int = 10, unique: bool = False) -> DataFrame:
+                  slice_min: int = 10, unique: bool = False, state: DataFrame | None = None) -> DataFrame:
     """Every figure of the audit as ``(section, metric, value)``.
 
     ``unique`` says that no (station, time) has two rows, which saves a shuffle; ``slice_min`` is the length of the slices
-    that frozen sensors are looked for in.
+    that frozen sensors are looked for in.  ``state`` is the stored :func:`snapgrid.operators.daystate.day_state` of the same
+    rows and step; without one it is made here.
 
-    Each section reads the few columns it needs and reduces them to a handful
-    of rows; only those are united here.
+    ``status`` is read three times at most: for the state, for the rows around the age quantiles, and for the islands.  All
+    other sections read the state.
     """
-    daily = cadence(status, step_min)
-    stations = keys_amplitude(keys_per_day(status)).crossJoin(F.broadcast(keys_gone(status)))
+    state = _state(status, step_min) if state is None else state
+    runs, seen, buckets = runs_of(state), stations_of(state), buckets_of(state)
+    stations = keys_amplitude(keys_per_day(seen)).crossJoin(F.broadcast(keys_gone(seen)))
 
     counts = [c for c in COUNTS if c != "n" and (info is not None or c != "depasse_capacite")]
     shares = {f"part_{c}": ratio(F.col(c), F.col("n")) for c in counts}
-    values = consistency(status, info, ties).withColumns(shares)
+    values = consistency_of(seen, info, ties).withColumns(shares)
 
     agreement = frozen_agreement(frozen(status, slice_min=slice_min, unique=unique)).withColumnRenamed("n_stations", "n_stations_6h")
-    errors = slot_errors(target_pairs(status, step_min, horizon_min, tz))
+    errors = slot_errors(target_pairs_of(buckets, runs, step_min, horizon_min, tz))
     by_slot = mae_of_slots(errors).select(
         F.lit("baseline").alias("section"), F.concat(F.lit("mae "), "creneau").alias("metric"),
         F.col("mae").alias("value"))
 
     sections = [
-        _long("volume", volume(status, step_min),
+        _long("volume", volume_of(runs, seen, step_min),
               ["n_lignes", "n_runs", "n_stations", "jours", "runs_attendus", "taux_collecte"]),
-        _long("cadence", cadence_summary(daily), ["pire_trou_min", "runs_manques"]),
+        _long("cadence", cadence_summary(cadence(runs, step_min)), ["pire_trou_min", "runs_manques"]),
         _long("referentiel", stations, ["amplitude", "n_absentes"]),
-        _long("fraicheur", freshness(status),
+        _long("fraicheur", freshness(status, counts=ages_of(state)),
               ["p50_s", "p90_min", "p99_h", "max_h", "pct_sup_6h", "pct_sup_24h"]),
         _long("coherence", values, [*counts, *shares]),
         _long("figes", agreement, ["n_stations_6h", "accord"]),
-        _long("grille", fill_rate(status, step_min), ["cases", "pct_remplies"]),
+        _long("grille", fill_rate_of(buckets, runs, step_min), ["cases", "pct_remplies"]),
         _long("baseline", mae_of(errors), ["mae"]),
         by_slot,
     ]
@@ -124,9 +134,9 @@ def audit_metrics(status: DataFrame, info: DataFrame | None = None, step_min: in
 
 def audit(status: DataFrame, info: DataFrame | None = None, step_min: int = 15,
           horizon_min: int = 60, tz: str = "Europe/Paris", ties: Sequence[str] = (),
-          slice_min: int = 10, unique: bool = False) -> DataFrame:
+          slice_min: int = 10, unique: bool = False, state: DataFrame | None = None) -> DataFrame:
     """Audit report: ``(section, metric, value, verdict)``."""
-    return verdicts(audit_metrics(status, info, step_min, horizon_min, tz, ties, slice_min, unique))
+    return verdicts(audit_metrics(status, info, step_min, horizon_min, tz, ties, slice_min, unique, state))
 
 
 def run_audit(spark: SparkSession, status: str, dest: str, info: str | None = None, *, start: str | None = None,

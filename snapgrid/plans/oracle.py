@@ -253,6 +253,19 @@ def _with(*ctes: str) -> str:
 _GRID = (STATUS, _grid())
 _PAIR_COLUMNS = "station_id, ts, n_bikes, is_imputed, y, y_imputed, h_paris"
 
+_VERDICTS = (_with(STATUS, RUNS, INFO, VOLUME, _cadence("status"), DAYS, GONE, FRESHNESS, _consistency(True),
+                  ISLANDS, _grid(), FILL, _by_slot(), METRICS)
+             + f"SELECT section, metric, round(value, 6) AS value, {VERDICT} AS verdict FROM metrics")
+
+# The exact figures; that estimates are near them is what the query says of each.
+_SKETCHED = """, exact AS (
+    SELECT 'volume' AS section, NULL::DATE AS jour, unnest(['n_runs', 'n_stations']) AS metric,
+           unnest([n_runs, n_stations])::DOUBLE AS value FROM volume
+    UNION ALL SELECT 'freshness', NULL, unnest(['p50_s', 'p90_min', 'p99_h', 'max_h', 'pct_sup_6h', 'pct_sup_24h']),
+           unnest([p50_s, p90_min, p99_h, max_h, pct_sup_6h, pct_sup_24h]) FROM freshness
+    UNION ALL SELECT 'stations_daily', jour, 'n_stations', n_stations::DOUBLE FROM stations_daily)
+    SELECT section, form, jour, metric, value, true AS near FROM exact, (VALUES ('merged'), ('direct')) forms(form)"""
+
 ORACLE = {
     "volume_coverage": _with(STATUS, VOLUME) + """SELECT n_lignes, n_runs, n_stations, debut, fin,
         round(jours, 6) AS jours, round(runs_attendus, 6) AS runs_attendus,
@@ -293,9 +306,9 @@ ORACLE = {
     "mae_by_slot": _with(*_GRID, _by_slot()) + "SELECT * FROM by_slot ORDER BY creneau",
     "mae_by_slot_fixed_offset": _with(*_GRID, _by_slot("hour(ts + INTERVAL 2 HOUR)"))
     + "SELECT * FROM by_slot ORDER BY creneau",
-    "verdicts": _with(STATUS, RUNS, INFO, VOLUME, _cadence("status"), DAYS, GONE, FRESHNESS, _consistency(True),
-                      ISLANDS, _grid(), FILL, _by_slot(), METRICS)
-    + f"SELECT section, metric, round(value, 6) AS value, {VERDICT} AS verdict FROM metrics",
+    "verdicts": _VERDICTS,
+    "verdicts_by_days": _VERDICTS,
+    "sketched_figures": _with(STATUS, VOLUME, DAYS, FRESHNESS).rstrip() + _SKETCHED,
     "dq_checks": _with(*_GRID, DAMAGE) + """
         SELECT 'duplicate_key' AS "check", count(*) AS n_violations
         FROM (SELECT station_id, fetched_at FROM copied GROUP BY ALL HAVING count(*) > 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapgrid.functions.feed import stamp_of
 from snapgrid.functions.numbers import round_to
-from snapgrid.operators import baseline, checks, coverage, islands, profile, timegrid
+from snapgrid.operators import baseline, checks, coverage, daystate, islands, profile, timegrid
 from snapgrid.operators.consistency import consistency
 from snapgrid.operators.envelope import flat_status, landed_rows
 from snapgrid.operators.freshness import freshness
@@ -75,6 +75,40 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(audit(standin.status(spark, sf_dir), standin.info(spark, sf_dir), ties=TIES), "value")
 
 
+def _verdicts_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit from a state that was stored in two steps, the later days added to the earlier ones."""
+    status, dest = standin.status(configure(spark), sf_dir), scratch_dir(spark, "day-state")
+    first = status.agg(F.min(F.to_date("fetched_at")).alias("d")).first()["d"]
+    daystate.update_days(status.where(F.col("fetched_at") < F.lit(first).cast("timestamp_ntz") + F.expr("INTERVAL 9 DAYS")), dest)
+    daystate.update_days(status, dest)
+    return _rounded(audit(status, standin.info(spark, sf_dir), ties=TIES, state=spark.read.parquet(dest)), "value")
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures from sketches kept per day beside the exact ones: the exact value, and whether the estimate is near it."""
+    status, path, accuracy = standin.status(configure(spark), sf_dir), scratch_dir(spark, "day-sketches"), 0.01
+    daystate.day_sketches(status, accuracy).write.parquet(path)
+    days = spark.read.parquet(path)
+    parts = []
+    for section, exact, merged, direct, names, key in (
+            ("volume", coverage.volume(status), daystate.volume_of_days(days), coverage.volume(status, accuracy=accuracy),
+             ["n_runs", "n_stations"], None),
+            ("freshness", freshness(status), daystate.freshness_of_days(days), freshness(status, accuracy=accuracy),
+             ["p50_s", "p90_min", "p99_h", "max_h", "pct_sup_6h", "pct_sup_24h"], None),
+            ("stations_daily", coverage.keys_per_day(status), daystate.keys_of_days(days), coverage.keys_per_day(status, accuracy),
+             ["n_stations"], "jour")):
+        by = [key] if key else []
+        for form, found in (("merged", merged), ("direct", direct)):
+            found = found.select(*by, *[F.col(n).cast("double").alias(f"est_{n}") for n in names])
+            both = exact.join(found, by) if by else exact.crossJoin(F.broadcast(found))
+            near = {n: F.abs(F.col(f"est_{n}") - F.col(n)) <= 5 * accuracy * F.abs(F.col(n)) + 0.5 for n in names}
+            rows = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), near[n].alias("near"))
+                                      for n in names]))
+            parts.append(both.select(F.lit(section).alias("section"), F.lit(form).alias("form"),
+                                     (F.col(key) if key else F.lit(None).cast("date")).alias("jour"), rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = scratch_dir(spark, "status")
     convert(spark, _landing(spark, sf_dir), dest, ".json", schema=ENVELOPE, multiline=False)
@@ -197,6 +231,8 @@ QUERIES: dict[str, Query] = {
     "mae_by_slot_fixed_offset": _on_status(
         lambda s: baseline.persistence_mae_by_slot(baseline.target_pairs(s, tz="fixed+2"))),
     "verdicts": _verdicts,
+    "verdicts_by_days": _verdicts_by_days,
+    "sketched_figures": _sketched,
     "dq_checks": _damaged_checks,
     "cadence_daily_nulls": _on_status(coverage.cadence, standin.gappy_status),
     "grid_cells_nulls": _on_status(timegrid.grid, standin.gappy_status),
