@@ -10,11 +10,6 @@ STAMP_PATTERN = r"(\d{8}T\d{6})Z"
 STAMP_FORMAT = "yyyyMMdd'T'HHmmss"
 
 
-def is_document(text: Column) -> Column:
-    """Whether a text is one whole JSON document, and nothing else."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
-
-
 def stamp_of(path: Column | str, strict: bool = True) -> Column:
     """Collection instant written in a file path.
 

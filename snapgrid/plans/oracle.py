@@ -342,4 +342,18 @@ ORACLE = {
     "union_by_name": """
         SELECT event_id, CAST(user_id AS DOUBLE) AS user_id, CASE WHEN event_id % 2 = 0 THEN value END AS value,
                CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events""",
+    "json_multiline_inferred": _with(FEED) + "SELECT * FROM first_wins",
+    "csv_inferred": """
+        SELECT event_id, ts, ts::DATE AS day, user_id, event_type, CASE WHEN event_id % 1000 <> 999 THEN value END AS value, props,
+               user_id % 2 = 0 AS even, CASE WHEN event_id % 1000 = 999 THEN 'unknown' END AS unfit_value,
+               CASE WHEN event_id % 1000 = 999 THEN 1 ELSE 0 END AS n_unfit FROM events""",
+    "union_by_name_wide": """
+        WITH e AS (SELECT *, round(value * 100)::BIGINT AS cents, event_id % 3 AS part FROM events)
+        SELECT event_id, CASE part WHEN 2 THEN round(cents / 1000, 3)::DECIMAL(22, 3) ELSE cents::DECIMAL(22, 3) END::VARCHAR AS amount,
+               CASE part WHEN 0 THEN (user_id % 2 = 0)::INTEGER WHEN 1 THEN (user_id % 7)::INTEGER ELSE (user_id % 3)::INTEGER END AS flag,
+               user_id::DOUBLE AS pair_user, CASE WHEN part <> 1 THEN cents::INTEGER END AS pair_cents,
+               CASE WHEN part = 1 THEN event_id % 5 END AS five,
+               CASE part WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id / 2 END AS first,
+               'decimal(22,3)' AS amount_type, 'int' AS flag_type
+        FROM e""",
 }

@@ -192,6 +192,49 @@ def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshots(spark, root, ".parquet")
 
 
+def _drifted_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of files that disagree on decimals, truth values and nested columns."""
+    events = standin.table(configure(spark), sf_dir, "events")
+    root, cents = scratch_dir(spark, "drift"), F.round(F.col("value") * 100).cast("bigint")
+    plain = F.struct("user_id", cents.cast("int").alias("cents"))
+    nested = F.struct(F.col("user_id").cast("double").alias("user_id"), F.struct((F.col("event_id") % 5).alias("five")).alias("more"))
+    batches = [
+        ("event_id % 3 = 0", cents.cast("decimal(12,2)"), F.col("user_id") % 2 == 0, plain, F.array(F.col("event_id").cast("int"))),
+        ("event_id % 3 = 1", cents, (F.col("user_id") % 7).cast("int"), nested, F.array(F.col("event_id").cast("double") / 2)),
+        ("event_id % 3 = 2", (cents / 1000).cast("decimal(20,3)"), (F.col("user_id") % 3).cast("tinyint"), plain, F.array().cast("array<int>")),
+    ]
+    for where, amount, flag, pair, values in batches:
+        rows = events.where(where).select("event_id", amount.alias("amount"), flag.alias("flag"), pair.alias("pair"), values.alias("list"))
+        rows.write.mode("append").parquet(root)
+    found = read_snapshots(spark, root, ".parquet")
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    return found.select("event_id", F.col("amount").cast("string").alias("amount"), F.col("flag").cast("int").alias("flag"),
+                        F.col("pair.user_id").alias("pair_user"), F.col("pair.cents").alias("pair_cents"), F.col("pair.more.five").alias("five"),
+                        F.get("list", F.lit(0)).alias("first"), F.lit(kinds["amount"]).alias("amount_type"), F.lit(kinds["flag"]).alias("flag_type"))
+
+
+def _json_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several documents over several lines each, their schema inferred."""
+    root = scratch_dir(spark, "spanning")
+    text = F.to_json(F.struct("last_updated", "lastUpdatedOther", "data"), {"pretty": "true"})
+    (standin.envelopes(configure(spark), sf_dir).select("date", "stamp", text.alias("value")).hint("rebalance", "stamp")
+     .write.partitionBy("date", "stamp").text(root))
+    return flat_status(read_snapshots(spark, root, ".json", provenance=True))
+
+
+def _csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of every type, one with a few values of another type far into the files."""
+    events = standin.table(configure(spark), sf_dir, "events")
+    root = scratch_dir(spark, "csv-source")
+    value = F.when(F.col("event_id") % 1000 == 999, F.lit("unknown")).otherwise(F.col("value").cast("string"))
+    (events.select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", "event_type", value.alias("value"), "props",
+                   (F.col("user_id") % 2 == 0).alias("even"))
+     .write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("header", True).csv(root))
+    found = read_snapshots(spark, root, ".csv", tolerance=0.01)
+    return found.select(*[c for c in found.columns if c != "unfit"], F.element_at("unfit", "value").alias("unfit_value"),
+                        F.coalesce(F.size("unfit"), F.lit(0)).alias("n_unfit"))
+
+
 def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _landing(spark, sf_dir)
     standin.info(spark, sf_dir).write.parquet(f"{root}/information")
@@ -253,6 +296,9 @@ QUERIES: dict[str, Query] = {
     "schema_conformance": _conformance,
     "csv_json_roundtrip": _formats,
     "union_by_name": _drifted,
+    "union_by_name_wide": _drifted_wide,
+    "json_multiline_inferred": _json_spanning,
+    "csv_inferred": _csv_inferred,
     "stream_ingest": _stream_ingest,
     "stream_repeated": _repeated_stream,
     "discover_files": _discover,

@@ -12,32 +12,76 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapgrid.schema import cast_to
+from snapgrid.schema import cast_to, is_nested
 
-_NUMERIC = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
+_WHOLE = [T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+_FLOATS = [T.FloatType(), T.DoubleType()]
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+# Decimal digits of the whole types.
+_DIGITS = {T.BooleanType(): 1, T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+
+
+def _wider_decimal(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The decimal that holds both, or a double where none has the digits."""
+    a, b = (x if isinstance(x, T.DecimalType) else T.DecimalType(_DIGITS[x], 0) for x in (a, b))
+    scale = max(a.scale, b.scale)
+    digits = max(a.precision - a.scale, b.precision - b.scale) + scale
+    return T.DecimalType(digits, scale) if digits <= 38 else T.DoubleType()
 
 
 def wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """Smallest type that holds both; text when they have nothing in common."""
+    """Smallest type that holds both; text when they have nothing in common.
+
+    Truth values count as 0 and 1 beside numbers.  Structs are united by field name, lists and maps by their parts; a nested
+    value beside another kind is text, as JSON.
+    """
     if a == b:
         return a
     if isinstance(a, T.NullType) or isinstance(b, T.NullType):
         return b if isinstance(a, T.NullType) else a
-    if a in _NUMERIC and b in _NUMERIC:
-        big = max(_NUMERIC.index(a), _NUMERIC.index(b))
-        small = min(_NUMERIC.index(a), _NUMERIC.index(b))
-        # a float cannot hold every int
-        return T.DoubleType() if _NUMERIC[big] == T.FloatType() and small >= 2 else _NUMERIC[big]
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    whole_or_decimal = [x in _WHOLE or isinstance(x, T.DecimalType) for x in (a, b)]
+    if all(whole_or_decimal):
+        return _wider_decimal(a, b)
+    if all(known or x in _FLOATS for known, x in zip(whole_or_decimal, (a, b))):
+        small = {T.BooleanType(), T.ByteType(), T.ShortType(), T.FloatType()}  # a float holds these
+        return T.FloatType() if {a, b} <= small else T.DoubleType()
     if isinstance(a, _TIMES) and isinstance(b, _TIMES):
         return T.TimestampNTZType()
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return common_schema([a, b])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider(a.elementType, b.elementType))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(wider(a.keyType, b.keyType), wider(a.valueType, b.valueType))
     return T.StringType()
 
 
+def widened(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value as its wider type; struct fields by name, those it lacks NULL."""
+    if have == want:
+        return c
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        held = {f.name: f.dataType for f in have.fields}
+        fields = [(widened(c[f.name], held[f.name], f.dataType) if f.name in held else F.lit(None).cast(f.dataType)).alias(f.name)
+                  for f in want.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: widened(x, have.elementType, want.elementType))
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda x: F.struct(
+            widened(x["key"], have.keyType, want.keyType).alias("key"), widened(x["value"], have.valueType, want.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    if is_nested(have) and isinstance(want, T.StringType):
+        return F.to_json(c)
+    return cast_to(c, have, want)
+
+
 def common_schema(schemas: Sequence[T.StructType]) -> T.StructType:
     """All columns in order of first appearance, each with its widest type."""
     types: dict[str, T.DataType] = {}
@@ -98,6 +142,6 @@ def read_drifted(spark: SparkSession, paths: Sequence[str], options: dict[str, s
         have = {f.name: f.dataType for f in part.schema.fields}
         want = {f.name: f.dataType for f in common.fields}
         parts.append(part.select([
-            cast_to(F.col(f"`{name}`"), dtype, want.get(name, dtype)).alias(name) for name, dtype in have.items()
+            widened(F.col(f"`{name}`"), dtype, want.get(name, dtype)).alias(name) for name, dtype in have.items()
         ]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapgrid.operators.envelope import landed_rows, stations_path
-from snapgrid.schema import cast_to
 from snapgrid.session import located
 from snapgrid.sources.convert import EmptyFeed, Written
-from snapgrid.sources.drift import common_schema
+from snapgrid.sources.drift import common_schema, widened
 from snapgrid.sources.sinks import write_by_date
 
 KEY = ("station_id", "ingested_at")
@@ -61,7 +60,7 @@ def landed(spark: SparkSession, dest: str, dates: list | None = None) -> DataFra
         if dates is not None:
             part = part.where(F.col("date").isin(dates))
         want = {f.name: f.dataType for f in common.fields}
-        parts.append(part.select(*[cast_to(F.col(f"`{f.name}`"), f.dataType, want[f.name]).alias(f.name) for f in schema.fields], "date"))
+        parts.append(part.select(*[widened(F.col(f"`{f.name}`"), f.dataType, want[f.name]).alias(f.name) for f in schema.fields], "date"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -6,12 +6,13 @@ import os
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapgrid.functions.feed import is_document
 from snapgrid.session import located
+from snapgrid.sources.delimited import infer_csv
+from snapgrid.sources.documents import inferred, parsed, read_documents
 from snapgrid.sources.drift import read_drifted
 
 # The reader each extension is given to.
@@ -28,10 +29,6 @@ class UnsupportedFormat(ValueError):
     """The extension has no reader."""
 
 
-class MixedJson(ValueError):
-    """JSON files that neither hold one document per line nor one document each."""
-
-
 def extension(path: str) -> str:
     return os.path.splitext(path.replace("*", "x"))[1]
 
@@ -52,41 +49,24 @@ def _hive_partitioned(spark: SparkSession, root: str) -> bool:
     return True
 
 
-def _spans_lines(spark: SparkSession, paths: Sequence[str], options: dict[str, str]) -> bool:
-    """Whether documents span lines, from every line of every file; files that a reader would cut short are refused.
-
-    A file whose lines are all documents is read line by line, any other as one document.  Files of one line suit both.
-    """
-    lines = spark.read.options(**options).text(list(paths)).where(F.trim("value", F.lit(" \t\r")) != "")
-    valid = is_document(F.col("value"))
-    files = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.count("*").alias("n"), F.bool_and(valid).alias("by_line"))
-    listed, spanning = files.where("by_line AND n > 1"), files.where("NOT by_line")
-    one = spanning.first()
-    if one is None:
-        return False
-    if (other := listed.first()) is not None:
-        raise MixedJson(f"{other['path']} holds {other['n']} documents, one per line, {one['path']} a document over several; "
-                        "read such files on their own")
-    whole = spark.read.options(**options).text(list(paths), wholetext=True)
-    broken = whole.where(~is_document(F.col("value")) & (F.trim("value", F.lit(" \t\r\n")) != ""))
-    if (bad := broken.select(F.col("_metadata.file_path").alias("path")).first()) is not None:
-        raise MixedJson(f"{bad['path']} is not one JSON document, nor one per line")
-    return True
+def _day_of(path: Column) -> Column:
+    return F.nullif(F.regexp_extract(path, r"/date=(\d{4}-\d{2}-\d{2})/", 1), F.lit("")).cast("date")
 
 
 def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | None = None, *,
                    schema: T.StructType | None = None, start: str | None = None, end: str | None = None,
-                   multiline: bool | None = None, provenance: bool = False) -> DataFrame:
+                   multiline: bool | None = None, provenance: bool = False, tolerance: float = 0.0) -> DataFrame:
     """Snapshot files below a folder, one file, or a glob (``**`` is recursive).
 
     The extension picks the reader unless ``ext`` names it.  Parquet files are
     united by column name.  ``start`` and ``end`` (inclusive dates) prune
     ``date=`` folders.  ``multiline`` says whether a JSON document spans lines;
-    None reads every file to find out, and refuses by name files of both kinds
-    together and files that hold several documents over several lines.
-    ``provenance`` adds the source path as ``filename``.  Pass ``schema`` for
-    large CSV or JSON inputs: inferring one reads the data first.
+    None reads files of any layout, each as one text, which is cut into its
+    documents (``.ndjson`` files have one per line).  ``provenance`` adds the
+    source path as ``filename``.  Without ``schema`` it is inferred from all
+    values of CSV files and JSON documents of any layout, which are read once
+    and kept in the scratch folder; ``tolerance`` is the share of a CSV column's
+    values that may not fit its type (see :mod:`snapgrid.sources.delimited`).
     """
     paths = [located(p) for p in ([path] if isinstance(path, str) else path)]
     ext = ext or extension(paths[0])
@@ -106,12 +86,16 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
                 partition_from_path = True
 
     reader = spark.read.format(fmt).options(**options)
+    if fmt == "json" and multiline is None and ext != ".ndjson":
+        found = read_documents(spark, paths, options)
+        df = inferred(found) if schema is None else parsed(found, schema)
+        if partition_from_path and "date" not in df.columns and (start or end):
+            df = df.withColumn("date", _day_of(F.col("filename")))
+        return between_dates(df if provenance else df.drop("filename"), start, end)
     if fmt == "json":
-        if multiline is None:
-            multiline = _spans_lines(spark, paths, options)
-        reader = reader.option("multiLine", multiline).option("mode", "FAILFAST")
+        reader = reader.option("multiLine", bool(multiline)).option("mode", "FAILFAST")
     elif fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
+        reader = reader.option("header", True)
 
     if schema is not None:
         df = reader.schema(schema).load(paths)
@@ -123,14 +107,18 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], ext: str | No
                 raise
             df = read_drifted(spark, paths, options, provenance)
             provenance = False
+    elif fmt == "csv":
+        df = infer_csv(spark, paths, options, tolerance, provenance or partition_from_path)
+        if partition_from_path and "date" not in df.columns and (start or end):
+            df = df.withColumn("date", _day_of(F.col("filename")))
+        return between_dates(df if provenance or "filename" not in df.columns else df.drop("filename"), start, end)
     else:
         df = reader.load(paths)
 
     if provenance:
         df = df.withColumn("filename", F.col("_metadata.file_path"))
     if partition_from_path and "date" not in df.columns and (start or end):
-        day = F.regexp_extract(F.col("_metadata.file_path"), r"/date=(\d{4}-\d{2}-\d{2})/", 1)
-        df = df.withColumn("date", F.nullif(day, F.lit("")).cast("date"))
+        df = df.withColumn("date", _day_of(F.col("_metadata.file_path")))
     return between_dates(df, start, end)
 
 

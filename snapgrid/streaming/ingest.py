@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from snapgrid.functions.feed import is_document
 from snapgrid.functions.time import DAY, micros
 from snapgrid.operators.envelope import flat_status
 from snapgrid.schema import ENVELOPE, STATUS
 from snapgrid.session import located
+from snapgrid.sources.documents import documents
 
 KEY = ["station_id", "fetched_at"]
 WATERMARK = "1 day"
@@ -34,8 +34,8 @@ def read_landing(spark: SparkSession, landing: str, schema: T.StructType = ENVEL
                  multiline: bool | None = None, max_files: int | None = None) -> DataFrame:
     """Streaming status rows of the JSON files that arrive below ``landing``.
 
-    By default each file is read whole and holds one document, or one per line;
-    anything else fails.  ``multiline=False`` says that all hold one per line,
+    By default each file is read whole and cut into its documents, however they
+    are laid out.  ``multiline=False`` says that all hold one per line,
     and lets large files be read in pieces; ``multiline=True`` that all hold one.
     """
     reader = spark.readStream.option("recursiveFileLookup", True)
@@ -45,9 +45,7 @@ def read_landing(spark: SparkSession, landing: str, schema: T.StructType = ENVEL
         df = reader.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(landing)
         return flat_status(df.withColumn("filename", F.col("_metadata.file_path")))
     whole = reader.text(landing, wholetext=True).withColumn("filename", F.col("_metadata.file_path"))
-    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line, F.lit(" \t\r")) != "")
-    documents = F.when(is_document(F.col("value")), F.array("value")).otherwise(lines)
-    found = whole.select("filename", F.explode(documents).alias("document"))
+    found = whole.select("filename", F.explode(documents(F.col("value"))).alias("document"))
     parsed = F.from_json("document", schema, {"mode": "FAILFAST"})
     return flat_status(found.select(parsed.alias("d"), "filename").select("d.*", "filename"))
 

@@ -13,10 +13,12 @@ from snapgrid.operators.envelope import flat_status, flatten_envelope, landed_ro
 from snapgrid.schema import ENVELOPE, INFO, LANDED_RENAMES, STATUS, canonicalise
 from snapgrid.sources.convert import EmptyFeed, convert, convert_first
 from snapgrid.sources.discover import discover
+from snapgrid.sources.documents import documents
+from snapgrid.sources.drift import wider
 from snapgrid.plans.audit import run_audit
 from snapgrid.plans.inspection import inspect_tree
 from snapgrid.sources.landing import land, landed, publish, stage
-from snapgrid.sources.readers import (MixedJson, UnsupportedFormat, between_dates,
+from snapgrid.sources.readers import (UnsupportedFormat, between_dates,
                                        read_snapshots)
 from snapgrid.session import located
 from snapgrid.sources.sinks import write_report
@@ -222,23 +224,68 @@ def test_report_is_written(spark, tmp_path):
         write_report(report, str(tmp_path / "x"), "xml")
 
 
-def test_json_of_both_kinds_is_refused(spark, tmp_path):
+def test_json_files_of_any_layout(spark, tmp_path):
     put(tmp_path / "in/a.json", envelope(station(1)), indent=2)
-    put(tmp_path / "in/b.json", "\n".join(json.dumps(envelope(station(i))) for i in (2, 3)))
-    with pytest.raises(MixedJson, match="b.json"):
-        read_snapshots(spark, str(tmp_path / "in"), ".json")
-    put(tmp_path / "blank/a.json", envelope(station(1)), indent=2)
-    put(tmp_path / "blank/b.json", "\n".join(" " + json.dumps(envelope(station(i))) for i in (2, 3)))
-    with pytest.raises(MixedJson, match="b.json"):
-        read_snapshots(spark, str(tmp_path / "blank"), ".json")
-    put(tmp_path / "two/a.json", "\n".join(json.dumps(envelope(station(i)), indent=2) for i in (1, 2)))
-    with pytest.raises(MixedJson, match="a.json"):
-        read_snapshots(spark, str(tmp_path / "two"), ".json")
-    put(tmp_path / "lines/a.json", "\n".join(" " + json.dumps(envelope(station(i))) for i in (1, 2)))
-    assert flatten_envelope(read_snapshots(spark, str(tmp_path / "lines"), ".json")).count() == 2
-    put(tmp_path / "one/a.json", envelope(station(1)), indent=2)
-    put(tmp_path / "one/b.json", envelope(station(2)))
-    assert flatten_envelope(read_snapshots(spark, str(tmp_path / "one"), ".json")).count() == 2
+    put(tmp_path / "in/b.json", "\n".join(" " + json.dumps(envelope(station(i))) for i in (2, 3)))
+    put(tmp_path / "in/c.json", "\n\n".join(json.dumps(envelope(station(i)), indent=2) for i in (4, 5)))
+    put(tmp_path / "in/d.json", "".join(json.dumps(envelope(station(i))) for i in (6, 7)))
+    put(tmp_path / "in/e.json", [envelope(station(8)), envelope(station(9))])
+    put(tmp_path / "in/f.json", " \n")
+    for schema in (None, ENVELOPE):
+        rows = flatten_envelope(read_snapshots(spark, str(tmp_path / "in"), ".json", schema=schema))
+        assert rows_of(rows, "station_id") == [(n,) for n in range(1, 10)]
+    put(tmp_path / "bad/x.json", '{"a": 1} {"a": ')
+    with pytest.raises(Exception, match="x.json"):
+        read_snapshots(spark, str(tmp_path / "bad"), ".json")
+
+
+@pytest.mark.parametrize("texts", [
+    ['{"a": "x } {y"}', '{"a": "}{"}'], ['{"a": "q\\" }\\n{"}', "[1, [2], {\"b\": []}]", "{}"], ['{"a": "\\\\"}', '{"a": "}  [ ] { \\\\\\""}'],
+    ['{"a": {"b": [{}, {"c": "] ["}]}}'] * 3, ["{}"], []])
+@pytest.mark.parametrize("between", ["", "\n", " \r\n\t"])
+def test_documents_are_cut_outside_strings(spark, texts, between):
+    found = spark.createDataFrame([(between + between.join(texts) + between,)], "t string").select(documents(F.col("t"))).first()[0]
+    assert found == texts and [json.loads(x) for x in found] == [json.loads(x) for x in texts]
+
+
+def test_schema_of_all_documents(spark, tmp_path):
+    put(tmp_path / "in/a.json", "\n".join(map(json.dumps, [
+        {"n": 1, "x": 1, "deep": {"a": [1]}, "none": None}, {"n": 2.5, "x": "t", "deep": {"b": {"c": True}}, "odd key": 1}, {"x": {"y": [1]}}])))
+    df = read_snapshots(spark, str(tmp_path / "in"), ".json")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert kinds == {"n": "double", "x": "string", "deep": "struct<a:array<bigint>,b:struct<c:boolean>>", "none": "string", "odd key": "bigint"}
+    assert rows_of(df, "n", "x", "deep.a", "deep.b.c", "`odd key`") == sorted(
+        [(1.0, "1", [1], None, None), (2.5, "t", None, True, 1), (None, '{"y":[1]}', None, None, None)],
+        key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_csv_types_come_from_all_values(spark, tmp_path):
+    lines = ["i,f,b,d,t,z,s,mixed,empty"] + [f"{n},{n}.5,true,2024-01-0{n % 9 + 1},2024-01-01 10:00:0{n % 10},2024-01-01T10:00:00+01:00,x{n},{n},"
+                                             for n in range(300)] + ["-7,1e3,FALSE,2024-02-29,2024-01-01T10:00,2024-01-01T10:00:00Z,,oops,"]
+    put(tmp_path / "in/a.csv", "\n".join(lines))
+    strict = read_snapshots(spark, str(tmp_path / "in"), ".csv")
+    kinds = {f.name: f.dataType.simpleString() for f in strict.schema.fields}
+    assert kinds == {"i": "bigint", "f": "double", "b": "boolean", "d": "date", "t": "timestamp_ntz", "z": "timestamp_ntz", "s": "string",
+                     "mixed": "string", "empty": "string"}
+    last = strict.where("i = -7").first()
+    assert (last.f, last.b, last.d, last.t, last.s, last.mixed) == (1000.0, False, dt.date(2024, 2, 29), at("2024-01-01 10:00:00"), None, "oops")
+    assert strict.where("i = 3").first().z == at("2024-01-01 09:00:00")
+    loose = read_snapshots(spark, str(tmp_path / "in"), ".csv", tolerance=0.01, provenance=True)
+    assert loose.schema["mixed"].dataType == T.LongType() and loose.where("unfit IS NOT NULL").count() == 1
+    assert loose.where("i = -7").first().unfit == {"mixed": "oops"} and loose.where("filename LIKE '%a.csv'").count() == 301
+
+
+@pytest.mark.parametrize("a,b,both", [
+    ("decimal(12,2)", "bigint", "decimal(21,2)"), ("decimal(12,2)", "decimal(20,3)", "decimal(20,3)"), ("decimal(38,2)", "decimal(38,30)", "double"),
+    ("decimal(5,1)", "double", "double"), ("boolean", "int", "int"), ("boolean", "double", "double"), ("boolean", "string", "string"),
+    ("smallint", "float", "float"), ("int", "float", "double"), ("date", "timestamp_ntz", "timestamp_ntz"), ("void", "int", "int"),
+    ("struct<a:int,b:string>", "struct<a:double,c:date>", "struct<a:double,b:string,c:date>"), ("array<int>", "array<bigint>", "array<bigint>"),
+    ("map<string,int>", "map<string,decimal(3,1)>", "map<string,decimal(11,1)>"), ("struct<a:int>", "int", "string")])
+def test_wider_types(a, b, both):
+    one, other, want = (T.StructType.fromDDL(f"x {x}")["x"].dataType for x in (a, b, both))
+    assert wider(one, other) == want
+    if not isinstance(want, T.StructType):
+        assert wider(other, one) == want
 
 
 def test_inspection_flattens_and_judges(spark, tmp_path):

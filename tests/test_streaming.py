@@ -88,9 +88,13 @@ def test_files_of_both_kinds_keep_all_rows(spark, tmp_path):
     assert run(spark, tmp_path).count() == 5
 
 
-def test_a_file_of_several_spanning_documents_fails(spark, tmp_path):
-    two = "\n".join(json.dumps(envelope(station(n)), indent=1) for n in (1, 2))
-    put(tmp_path / "in/20240101T000000Z.json", two)
+def test_a_file_of_several_spanning_documents_keeps_all_rows(spark, tmp_path):
+    put(tmp_path / "in/20240101T000000Z.json", "\n".join(json.dumps(envelope(station(n)), indent=1) for n in (1, 2)))
+    assert run(spark, tmp_path).count() == 2
+
+
+def test_a_broken_file_fails(spark, tmp_path):
+    put(tmp_path / "in/20240101T000000Z.json", json.dumps(envelope(station(1)))[:-1])
     with pytest.raises(Exception, match="(?i)malformed"):
         run(spark, tmp_path)
 
