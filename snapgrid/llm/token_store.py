@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ BITS = 8
 BLOCK = 512
 SEGMENT = 4_000_000
 END = 2
-TABLE_ROWS = 600_000
+TABLE_ROWS = 400_000
 _SIGNS = {" ": "Ġ", "\n": "Ċ"}  # how this vocabulary writes them
+# Characters at a word's edge that may be white space to the tokenizer.
+_EDGE = r"[\x00-\x20\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]"
+_EDGED = f"^{_EDGE}|{_EDGE}$"
 _HEAD = struct.Struct("<4s5I")
 
 
@@ -55,7 +59,9 @@ class WordTable:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         names = [name or "" for name in names]
@@ -65,57 +71,101 @@ class WordTable:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def alone(self, words: list[str], lead: str, together: int = 2000) -> list[bytes]:
-        """Ids of words that begin with ``lead`` and have it nowhere else, as bytes: many in one text, cut before its pieces."""
-        groups, out = [words[at:at + together] for at in range(0, len(words), together)], []
-        for group, ids in zip(groups, self.whole(["".join(group) for group in groups])):
-            ids = np.array(ids, dtype="<u4")
-            cuts = 4 * np.flatnonzero(self.leads[lead][ids])
-            if len(cuts) != len(group):
-                raise ValueError("the tokenizer joins characters across words")
-            data = ids.tobytes()
-            out += [data[start:stop] for start, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(data)])]
+    def alone(self, words: pa.Array, lead: str, together: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has) of words after ``lead``, which they do not hold: many in one text, cut before its pieces."""
+        starts = np.append(np.arange(0, len(words), together), len(words)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), words), lead)
+        ids = [np.array(found, dtype="<u4") for found in self.whole([lead + text for text in joined.to_pylist()])]
+        flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+        cuts = np.flatnonzero(self.leads[lead][flat])
+        pieces = np.add.reduceat(self.leads[lead][flat], np.cumsum([0, *map(len, ids[:-1])]), dtype=np.int64) if ids else np.zeros(0, np.int64)
+        if not np.array_equal(pieces, np.diff(starts)):
+            raise ValueError("the tokenizer joins characters across words")
+        return flat, np.diff(np.append(cuts, len(flat)))
+
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in some order, for each word where its ids start, how many it has); one not to be encoded alone has -1."""
+        feed = pc.starts_with(new, "\n")
+        bare = pc.if_else(feed, pc.utf8_slice_codeunits(new, 1), new)
+        edged = pc.or_(pc.equal(bare, ""), pc.match_substring_regex(bare, _EDGED))
+        lone = pc.and_not(pc.invert(edged), feed)
+        begins = pc.and_(pc.and_not(feed, edged), pc.invert(pc.match_substring(bare, "\n")))
+        starts, lengths, parts, held = np.zeros(len(new), dtype=np.int64), np.full(len(new), -1, dtype=np.int64), [], 0
+        for chosen, lead in ((lone, " "), (begins, "\n")):
+            ids, counts = self.alone(bare.filter(chosen), lead)
+            chosen = chosen.to_numpy(zero_copy_only=False)
+            starts[chosen], lengths[chosen] = held + np.cumsum(counts) - counts, counts
+            parts.append(ids)
+            held += len(ids)
+        return np.concatenate(parts), starts, lengths
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's start, how many each has or -1) of distinct words; only those new to the table are encoded."""
+        place = pc.index_in(words, value_set=self.words)
+        fresh = pc.is_null(place)
+        new = words.filter(fresh)
+        ids, starts, lengths = self.learn(new)
+        size = len(self.words)
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        place[fresh.to_numpy(zero_copy_only=False)] = size + np.arange(len(new))
+        found = self.ids, self.starts[place], self.lengths[place]
+        if len(self.words) > self.most:  # go on with what is in use
+            counts = np.maximum(found[2], 0)
+            self.words, self.lengths, self.starts = words, found[2], np.cumsum(counts) - counts
+            self.ids = self.ids[_ranges(found[1], counts)]
+        return found
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text; all words of all texts go through one dictionary, so Python sees no single word."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        words, first, lone = _words(texts, self.added)
+        coded = words.dictionary_encode()
+        ids, starts, lengths = self.known(coded.dictionary)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        # a text's first word has nothing before it: a word of its own, behind the distinct ones
+        heads = [np.array(x, dtype="<u4") for x in self.whole(words.take(pa.array(first)).to_pylist())]
+        sizes = np.array([len(x) for x in heads], dtype=np.int64)
+        codes[first] = len(lengths) + np.arange(len(first))
+        starts = np.concatenate([starts, len(ids) + np.cumsum(sizes) - sizes])
+        ids, lengths = np.concatenate([ids, *heads]), np.concatenate([lengths, sizes])
+        lone &= np.minimum.reduceat(lengths[codes], first) >= 0
+        counts = np.maximum(lengths, 0)[codes]
+        ends = np.cumsum(counts)
+        flat = ids[_ranges(starts[codes], counts)]
+        cuts = np.concatenate(([0], ends[np.append(first[1:], len(codes)) - 1]))
+        out = [flat[start:stop] for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        odd = np.flatnonzero(~lone)
+        for at, found in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist())):
+            out[at] = np.array(found, dtype="<u4")
         return out
 
-    def learn(self, new: list[str]) -> None:
-        found = self.ids
-        found.update(dict.fromkeys(new))
-        lone = [word for word in new if word and not word[0].isspace() and not word[-1].isspace()]
-        found.update(zip(lone, self.alone([" " + word for word in lone], " ")))
-        begins = [word for word in new if word[:1] == "\n" and word[1:2] and not word[1].isspace() and not word[-1].isspace()
-                  and "\n" not in word[1:]]
-        found.update(zip(begins, self.alone(begins, "\n")))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [["", ""] if any(token in text for token in self.added) else _split(text) for text in texts]
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        if new := list(set().union(*cut).difference(self.ids)):
-            self.learn(new)
-        found = self.ids
-        heads = iter(self.whole([words[0] for words in cut]))
-        out = []
-        for text, words in zip(texts, cut):
-            parts, head = list(map(found.__getitem__, words)), next(heads)
-            if None in parts:
-                out.append(np.array(self.whole([text])[0], dtype=np.uint32))
-            else:
-                parts[0] = np.array(head, "<u4").tobytes()  # nothing stands before it
-                out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
-        return out
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
 
 
-def _split(text: str) -> list[str]:
-    """Words without their leading blank; where line feeds stand between other characters, a line's first has the feed.
+def _words(texts: pa.Array, added: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, where each text's first one stands, whether the text can be taken word by word).
 
-    A feed after a blank would look the same, so such a text gives an empty word, which sends it to the library whole.
+    Words come without their leading blank; where line feeds stand between other characters, a line's first has the feed.  A feed
+    after a blank would look the same, so such a text goes to the library whole.
     """
-    if "\n" in text:
-        if " \n" in text:
-            return ["", ""]
-        if "\n\n" not in text and "\n " not in text:
-            text = text.replace("\n", " \n")
-    return text.split(" ")
+    fed = pc.match_substring(texts, "\n")
+    odd = pc.match_substring(texts, " \n")
+    for token in added:
+        odd = pc.or_(odd, pc.match_substring(texts, token))
+    apart = pc.and_not(fed, pc.or_(odd, pc.or_(pc.match_substring(texts, "\n\n"), pc.match_substring(texts, "\n "))))
+    if pc.any(apart).as_py():
+        texts = pc.if_else(apart, pc.replace_substring(texts, "\n", " \n"), texts)
+    cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    offsets = cut.offsets.to_numpy()
+    return cut.flatten(), offsets[:-1].astype(np.int64) - offsets[0], ~odd.to_numpy(zero_copy_only=False)
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -200,8 +250,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([packed(shard, number, ids, tokens)], pa.binary())], ["file"])
 
-        for piece in slices(batches, "text"):
-            coded = known.encode([text or "" for text in piece.column("text").to_pylist()])
+        for piece in slices(batches, "text", 4_000_000):
+            coded = known.encode(piece.column("text"))
             for doc, found in zip(piece.column("id").to_pylist(), coded):
                 if held and held + len(found) >= segment:
                     yield flushed()
