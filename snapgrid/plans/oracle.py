@@ -246,6 +246,31 @@ findings AS (SELECT kind, name, name IN (FROM present) AS ok FROM wanted
              UNION ALL SELECT 'usable', NULL, bool_and(name IN (FROM present)) FROM wanted WHERE kind = 'required')"""
 
 
+# The nested rows themselves, cast to text by the engine.
+NESTED = """
+kinds AS (SELECT event_id, ts, user_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k, CAST(floor(value / 20) AS INTEGER) AS nba
+          FROM events),
+nested AS (
+  SELECT date_trunc('day', ts)::TIMESTAMP AS run, event_id, struct_pack(
+    station_id := event_id, "stationCode" := user_id::VARCHAR, num_bikes_available := nba, num_docks_available := 20 - nba,
+    num_bikes_available_types := CASE WHEN k % 10 = 0 THEN []::STRUCT(mechanical INTEGER, ebike INTEGER)[]
+      WHEN k % 7 = 0 THEN [{'mechanical': nba, 'ebike': NULL::INTEGER}, {'mechanical': nba + 1, 'ebike': NULL::INTEGER}]
+      ELSE [{'mechanical': nba - nba % 3, 'ebike': NULL::INTEGER}, {'mechanical': NULL::INTEGER, 'ebike': nba % 3}] END,
+    is_installed := (k % 97 <> 0)::INTEGER, is_renting := (k % 50 <> 0)::INTEGER, is_returning := 1,
+    last_reported := epoch_us(ts) // 1000000) AS station
+  FROM kinds ORDER BY event_id LIMIT 3)"""
+
+
+def _preview(width: int) -> str:
+    cut = ", ".join(f"left({c}::VARCHAR, {width}) AS {c}" for c in ("run", "event_id", "station"))
+    return _with(NESTED) + f"SELECT {cut} FROM nested"
+
+
+_SHARES = " UNION ALL ".join(
+    f"SELECT 'coherence' AS section, 'part_{c}' AS metric, round({c}::DOUBLE / n, 6) AS value FROM consistency"
+    for c in ("nulls_bikes", "types_incoherents", "negatifs", "depasse_capacite", "hors_service", "non_installees"))
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -356,4 +381,11 @@ ORACLE = {
                CASE part WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id / 2 END AS first,
                'decimal(22,3)' AS amount_type, 'int' AS flag_type
         FROM e""",
+    "preview_nested": _preview(34),
+    "preview_nested_whole": _preview(1000),
+    "discover_counted": """
+        SELECT 'status' AS dataset, '.json' AS ext, count(DISTINCT ts::DATE) AS n_files, true AS has_bytes FROM events
+        UNION ALL SELECT 'information', '.parquet', 1, true""",
+    "report_stored": _with(STATUS, INFO, _consistency(True))
+    + f"SELECT fmt, section, metric, value, {VERDICT} AS verdict FROM ({_SHARES}), (VALUES ('parquet'), ('json'), ('csv')) f(fmt)",
 }

@@ -16,13 +16,14 @@ from snapgrid.operators.envelope import flat_status, landed_rows
 from snapgrid.operators.freshness import freshness
 from snapgrid.operators.latest import latest_per_bucket, latest_reference
 from snapgrid.plans import standin
-from snapgrid.plans.audit import audit
+from snapgrid.plans.audit import audit, verdicts
 from snapgrid.schema import ENVELOPE
 from snapgrid.session import configure, scratch_dir
 from snapgrid.sources.convert import convert
 from snapgrid.sources.discover import discover
 from snapgrid.sources.landing import land, landed, stage
 from snapgrid.sources.readers import read_snapshots
+from snapgrid.sources.sinks import write_report
 from snapgrid.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,8 +242,31 @@ def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(spark, root)
 
 
-def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.preview(standin.feed_rows(configure(spark), sf_dir))
+def _counted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets below a folder, one file for each run of one and one for all of the other."""
+    root = scratch_dir(spark, "tree")
+    (standin.envelopes(configure(spark), sf_dir).repartition("stamp").write.partitionBy("date", "stamp").json(f"{root}/status"))
+    standin.info(spark, sf_dir).coalesce(1).write.parquet(f"{root}/information")
+    return discover(spark, root).select("dataset", "ext", "n_files", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def _preview(width: int) -> Query:
+    return lambda spark, sf_dir: profile.preview(standin.feed_rows(configure(spark), sf_dir), 3, width, ["event_id"])
+
+
+def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report stored in each format and read back."""
+    status, root = standin.status(configure(spark), sf_dir), scratch_dir(spark, "report")
+    counts = consistency(status, standin.info(spark, sf_dir), TIES)
+    names = [name for name in counts.columns if name != "n"]
+    rows = F.inline(F.array(*[F.struct(F.lit("coherence").alias("section"), F.lit(f"part_{name}").alias("metric"),
+                                       round_to(F.col(name) / F.col("n"), 6).alias("value")) for name in names]))
+    report, parts = verdicts(counts.select(rows)), []
+    for fmt in ("parquet", "json", "csv"):
+        write_report(report, f"{root}/{fmt}", fmt)
+        stored = spark.read.schema(report.schema).option("header", True).format(fmt).load(f"{root}/{fmt}")
+        parts.append(stored.select(F.lit(fmt).alias("fmt"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES: dict[str, Query] = {
@@ -302,5 +326,8 @@ QUERIES: dict[str, Query] = {
     "stream_ingest": _stream_ingest,
     "stream_repeated": _repeated_stream,
     "discover_files": _discover,
-    "preview_nested": _preview,
+    "discover_counted": _counted_files,
+    "preview_nested": _preview(34),
+    "preview_nested_whole": _preview(1000),
+    "report_stored": _stored_report,
 }

@@ -11,7 +11,7 @@ from conftest import SF_DIR
 from snapgrid.plans.oracle import ORACLE
 from snapgrid.plans.workload import QUERIES
 
-ROWS_ONLY = {"discover_files", "preview_nested"}
+ROWS_ONLY = {"discover_files"}
 
 SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
