@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from snapgrid.llm.chat import OP9_SQL, op9_chat
-from snapgrid.llm.common import table
 from snapgrid.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from snapgrid.llm.fingerprints import op7_fingerprints
 from snapgrid.llm.lexical import OP12_SQL, op12_lexical_search
@@ -13,17 +12,11 @@ from snapgrid.llm.minhash import OP11_SQL, op11_minhash
 from snapgrid.llm.mixing import op2_mixing
 from snapgrid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from snapgrid.llm.pieces import op10_sentencepiece
-from snapgrid.llm.sharding import SHARDS, place
+from snapgrid.llm.sharding import OP3_SQL, op3_sharding
 from snapgrid.llm.token_store import op8_token_store
 from snapgrid.llm.toxicity import op6_toxicity
 
 
-def op3_sharding(spark, sf_dir: str):
-    """Every document's shard, and the one it would have without the last shard."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return place(place(rows), shards=SHARDS[:-1], shard_col="shard_without_last")
-
-
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
@@ -42,6 +35,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_ngram_join": OP1_SQL,
+    "op3_sharding": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_chat": OP9_SQL,

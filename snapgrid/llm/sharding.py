@@ -15,6 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from snapgrid.llm.common import sha256_hex, table
+from snapgrid.session import scratch_dir
 
 SLOTS = 65_537  # prime
 SHARDS = tuple(f"shard-{number:03d}" for number in range(64))
@@ -70,3 +74,30 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS,
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
     """Store the rows in one folder per shard; the rebalance hint lets large shards take several files."""
     place(docs, key, shards, slots).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+
+
+def op3_sharding(spark, sf_dir: str) -> DataFrame:
+    """Whole documents stored by shard; of what is read back, each one's shard, the one it would have without the last, and its text's digest."""
+    path = scratch_dir(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    write_shards(docs, path)
+    stored = spark.read.schema(StructType([*docs.schema.fields, StructField("shard", StringType())])).parquet(path)
+    return place(stored, shards=SHARDS[:-1], shard_col="shard_without_last").select(
+        "doc_id", "source", "shard", "shard_without_last", sha256_hex(F.col("text")).alias("text_sha256"))
+
+
+def _owners(shards: Sequence[str]) -> str:
+    return f"[{', '.join(map(str, lookup_table(shards)))}]"
+
+
+# The slot from the digest; the tables are the rule's own, listed.
+OP3_SQL = f"""
+WITH slotted AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents
+), tables AS (
+  SELECT unnest(range({SLOTS})) AS slot, unnest({_owners(SHARDS)}) AS whole, unnest({_owners(SHARDS[:-1])}) AS fewer
+)
+SELECT doc_id, source, 'shard-' || lpad(whole::VARCHAR, 3, '0') AS shard, 'shard-' || lpad(fewer::VARCHAR, 3, '0') AS shard_without_last,
+  sha256(text) AS text_sha256
+FROM slotted JOIN tables USING (slot)
+"""
