@@ -322,6 +322,7 @@ ORACLE = {
     "worst_holes_top5": _with(*_GRID) + HOLES,
     "worst_holes_nulls": _with(GAPPY, _grid()) + HOLES,
     "target_cells": _with(*_GRID) + f"SELECT {_PAIR_COLUMNS} FROM target",
+    "target_stored_grid": _with(*_GRID) + f"SELECT {_PAIR_COLUMNS} FROM target",
     "target_cells_nulls": _with(GAPPY, _grid()) + f"SELECT {_PAIR_COLUMNS} FROM target",
     "target_pairs": _with(*_GRID) + f"SELECT {_PAIR_COLUMNS} FROM pairs",
     "target_pairs_nulls": _with(GAPPY, _grid()) + f"SELECT {_PAIR_COLUMNS} FROM pairs",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapgrid.functions.feed import stamp_of
 from snapgrid.functions.numbers import round_to
-from snapgrid.operators import baseline, checks, coverage, daystate, islands, profile, timegrid
+from snapgrid.operators import baseline, checks, coverage, daystate, gridstore, islands, profile, timegrid
 from snapgrid.operators.consistency import consistency
 from snapgrid.operators.envelope import flat_status, landed_rows
 from snapgrid.operators.freshness import freshness
@@ -242,6 +243,16 @@ def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(spark, root)
 
 
+def _stored_grid(spark: SparkSession, sf_dir: str, source=standin.status) -> DataFrame:
+    """The target from a grid that is stored in two steps, the later days appended to the earlier ones."""
+    status = source(configure(spark), sf_dir)
+    cut = F.lit(status.agg(F.min(F.to_date("fetched_at")).alias("d")).first()["d"]).cast("timestamp_ntz") + F.expr("INTERVAL 9 DAYS")
+    store = gridstore.GridStore(spark, f"grid_{uuid.uuid4().hex}", buckets=8)
+    store.append(status.where(F.col("fetched_at") < cut))
+    store.append(status.where(F.col("fetched_at") >= cut))
+    return store.target()
+
+
 def _counted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datasets below a folder, one file for each run of one and one for all of the other."""
     root = scratch_dir(spark, "tree")
@@ -291,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "worst_holes_top5": _on_status(timegrid.worst_holes),
     "target_cells": _on_status(baseline.target),
     "target_pairs": _on_status(baseline.target_pairs),
+    "target_stored_grid": _stored_grid,
     "grid_fill_45min": _on_status(lambda s: timegrid.fill_rate(s, 45)),
     "target_pairs_45min": _on_status(lambda s: baseline.target_pairs(s, 45)),
     "mae_overall": _on_status(lambda s: baseline.persistence_mae(baseline.target_pairs(s))),

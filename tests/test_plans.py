@@ -12,7 +12,7 @@ from snapgrid.plans.workload import QUERIES
 
 WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "stream_repeated", "land_two_runs", "dq_checks",
                 "csv_json_roundtrip", "union_by_name", "union_by_name_wide", "json_multiline_inferred", "csv_inferred",
-                "discover_files", "discover_counted", "report_stored", "verdicts_by_days", "sketched_figures"}
+                "discover_files", "discover_counted", "report_stored", "verdicts_by_days", "sketched_figures", "target_stored_grid"}
 PLANNED = sorted(set(QUERIES) - WRITES_FIRST)
 
 
