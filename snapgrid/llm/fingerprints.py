@@ -4,8 +4,8 @@ A sketch keeps every shingle hash below a fraction of the hash range, and a text
 there, so the set of a shorter text is kept whole.  Every hash up to a sketch's bound, which the sketch itself tells, is
 in it; the share of one sketch found in another, up to the lower of their bounds, estimates containment between texts of
 any two lengths.  The sketch of a joined text is the union of sketches up to the lowest bound.  A fingerprint writes the
-kept hashes, ascending, in 11 hexadecimal digits each.  ``compare_with_next`` keeps all hashes, so its shares are exact but
-for chance agreement of 44-bit hashes.
+kept hashes, ascending, in 11 hexadecimal digits each.  Shares of texts of at most ``LEAST`` shingles are exact but for chance agreement
+of 44-bit hashes; those of longer texts are estimates.
 
 Defined cases: NULL is the empty text; a text of one to four words has one shingle; only a text without words has an
 empty fingerprint; containment of an empty sketch is 1 in an empty one and 0 else, as is that of a sketch without a hash up
@@ -93,20 +93,19 @@ def edited(text: str, following: str) -> str:
 
 _SCHEMA = ("id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
            "edited_fingerprint string, near_edited double, near_next double")
-_ALL = 1.0
 
 
 def _compared(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     """Result rows of (id, text, next text), each the next of the one before."""
     texts = [text for _, text, _ in pairs]
     changed = [edited(text, following) for _, text, following in pairs]
-    own, other = sketches([*texts, pairs[-1][2]], _ALL), sketches(changed, _ALL)
+    own, other = sketches([*texts, pairs[-1][2]]), sketches(changed)
     return pa.RecordBatch.from_arrays([
         pa.array([doc for doc, *_ in pairs], pa.int64()), pa.array(map(len, texts), pa.int64()),
         pa.array([hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() for text in changed]),
         pa.array(map(written, own[:-1]), pa.string()), pa.array(map(written, other), pa.string()),
-        pa.array([containment(a, b, _ALL) for a, b in zip(own, other)], pa.float64()),
-        pa.array([containment(a, b, _ALL) for a, b in zip(own, own[1:])], pa.float64())],
+        pa.array([containment(a, b) for a, b in zip(own, other)], pa.float64()),
+        pa.array([containment(a, b) for a, b in zip(own, own[1:])], pa.float64())],
         [field.split()[0] for field in _SCHEMA.split(", ")])
 
 

@@ -154,14 +154,17 @@ def plain_share(part, whole):
 def test_shares_of_all_lengths(spark):
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{n}" for n in rng.integers(0, 50, size)) for size in [*range(60), 300, 513, 700, 5000, 8000]]
+    texts[61:61] = [texts[40], texts[40]]
     texts += [texts[20], texts[20] + " more", texts[-1], " ".join(texts[-1].split(" ")[50:60])]
     common.session(spark)
     got = fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert len(got) == len(texts)
     for r in got:
         text, following = texts[r["id"]], texts[(r["id"] + 1) % len(texts)]
-        assert r["near_edited"] == pytest.approx(plain_share(text, fingerprints.edited(text, following)))
-        assert r["near_next"] == pytest.approx(plain_share(text, following))
+        changed = fingerprints.edited(text, following)
+        near = 0.001 if max(len(x.split(" ")) for x in (text, following, changed)) <= fingerprints.LEAST else 0.08
+        assert abs(r["near_edited"] - plain_share(text, changed)) <= near
+        assert abs(r["near_next"] - plain_share(text, following)) <= near
     short = [texts[n] for n in range(1, 40)]
     for a, b, text, following in zip(fingerprints.sketches(short), fingerprints.sketches(short[1:]), short, short[1:]):
         assert len(a) and fingerprints.containment(a, b) == pytest.approx(plain_share(text, following))
