@@ -87,7 +87,7 @@ def op3_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 def _owners(shards: Sequence[str]) -> str:
-    return f"[{', '.join(map(str, lookup_table(shards)))}]"
+    return f"string_split('{' '.join(map(str, lookup_table(shards)))}', ' ')"
 
 
 # The slot from the digest; the tables are the rule's own, listed.
