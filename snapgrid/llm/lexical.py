@@ -30,12 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapgrid.llm.common import materialise, session, slices, table
+from snapgrid.session import scratch_dir
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 HITS = 10
 SLICE_DOCS = 1000
 SLICE_BYTES = 2_000_000
 BLOCK_TERMS = 100_000
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Fixed values of the scoring function.
@@ -122,28 +125,44 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in slices(batches, "text"):
+        counts = words_of(piece.column("text"))[1]
+        found = pa.RecordBatch.from_arrays([*piece.columns, pa.array(counts, pa.int64())], [*piece.schema.names, "n"])
+        yield found.filter(pa.array(counts > 0))
+
+
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n) of the documents that have a term."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       F.regexp_count(text_col, F.lit(TERM)).cast("long").alias("n")).where("n > 0")
+    """(id, text, row, n) of the documents that have a term, n of them, stored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return materialise(rows.mapInArrow(_counted, "id bigint, text string, row bigint, n bigint"), "lexical-texts")
 
 
-def totals(docs: DataFrame, **names: str) -> tuple[int, int]:
-    """Number of documents with a term, and of all their terms."""
-    found = counted(docs, **names).agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    return found["docs"], found["terms"]
+def _spread(found: DataFrame, terms: int, parts: int) -> DataFrame:
+    """(n, low, high): which parts take the documents of n terms, so that each gets about as many terms, in order of n."""
+    mass = found.groupBy("n").agg((F.col("n") * F.count("*")).alias("mass"))
+    upto = F.sum("mass").over(Window.orderBy("n"))  # a row for each length
+    low, high = (upto - F.col("mass")) * parts / terms, (upto - 1) * parts / terms
+    return mass.select("n", F.floor(low).alias("low"), F.least(F.floor(high), F.lit(parts - 1)).alias("high"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """(index, number of documents): the stored index of all documents, one row per slice of a stratum."""
     spark = session(docs.sparkSession)
-    names = {"id_col": id_col, "text_col": text_col}
-    n_docs, n_terms = totals(docs, **names)
-    m = (F.lit(BASE - SLOPE) + F.expr(f"({SLOPE} * n * {n_docs}L) div {max(n_terms, 1)}L"))
-    rows = counted(docs, **names).select("id", "text", m.alias("m"), F.monotonically_increasing_id().alias("row"))
-    keys = [F.col("m").asc(), F.col("id").asc_nulls_last(), F.col("row").asc()]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    return materialise(ranged.mapInArrow(_sliced, _INDEX), "lexical-index"), n_docs
+    found = counted(docs, id_col, text_col)
+    whole = found.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    m = F.lit(BASE - SLOPE) + F.expr(f"({SLOPE} * n * {whole['docs']}L) div {max(whole['terms'], 1)}L")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # k different lengths take k * k / 2 terms at least, so there are few
+    lengths = F.broadcast(_spread(found, max(whole["terms"], 1), parts))
+    part = F.col("low") + F.pmod(F.xxhash64("row"), F.col("high") - F.col("low") + 1)
+    rows = found.join(lengths, "n").select("id", "text", m.alias("m"), "row", part.cast("int").alias("part"))
+    ranged = rows.repartitionById(parts, "part").drop("part").sortWithinPartitions("m", F.col("id").asc_nulls_last(), "row")
+    index, path = ranged.mapInArrow(_sliced, _INDEX), scratch_dir(spark, "lexical-index")
+    # a reader holds a row group at a time, and rows are large here
+    index.write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "4",
+                           "parquet.block.size.row.check.max": "16"}).parquet(path)
+    return spark.read.schema(index.schema).parquet(path), whole["docs"]
 
 
 def item_terms(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -257,8 +276,9 @@ def _visited(block: _Block, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, best = block.least.copy(), [[] for _ in block.items]
         for batch in batches:
-            seen = sorted((_Slice(block, batch, at) for at in range(batch.num_rows)), key=lambda x: -x.bounds.max(initial=0))
-            for one in seen:
+            seen = sorted((_Slice(block, batch, at) for at in range(batch.num_rows)), key=lambda x: x.bounds.max(initial=0))
+            while seen:
+                one = seen.pop()
                 for item in np.flatnonzero(one.bounds >= least):
                     found = [(score, one.id_at(place)) for score, place in one.hits(item, least[item], most)]
                     if found:
@@ -294,18 +314,24 @@ def _search_block(index: DataFrame, terms: list[list[str]], n_docs: int, most: i
 def search(docs: DataFrame, items: DataFrame, hits: int = HITS, block_terms: int = BLOCK_TERMS, item_col: str = "item_id",
            item_text: str = "text", **names: str) -> DataFrame:
     """(item, rank, id, score): each item's best documents, exactly."""
-    index, n_docs = build_index(docs, **names)
-    asked = materialise(item_terms(items, item_col, item_text), "lexical-items")
-    total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks, out = max(1, math.ceil(total / block_terms)), None
-    for number in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()  # about ``block_terms`` terms
-        found = _search_block(index, [row["terms"] for row in rows], n_docs, hits)
-        names_of = docs.sparkSession.createDataFrame([(at, row["item"]) for at, row in enumerate(rows)],
-                                                     f"item int, name {asked.schema['item'].dataType.simpleString()}")
-        found = materialise(found.join(names_of, "item").select(F.col("name").alias("item"), "rank", "id", "score"), "lexical-hits")
-        out = found if out is None else out.unionByName(found)
-    return out
+    spark = session(docs.sparkSession)
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)  # a row of the index is large; everything is stored before this ends
+    try:
+        index, n_docs = build_index(docs, **names)
+        asked = materialise(item_terms(items, item_col, item_text), "lexical-items")
+        total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+        blocks, out = max(1, math.ceil(total / block_terms)), None
+        for number in range(blocks):
+            rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()  # about ``block_terms`` terms
+            found = _search_block(index, [row["terms"] for row in rows], n_docs, hits)
+            names_of = spark.createDataFrame([(at, row["item"]) for at, row in enumerate(rows)],
+                                             f"item int, name {asked.schema['item'].dataType.simpleString()}")
+            found = materialise(found.join(names_of, "item").select(F.col("name").alias("item"), "rank", "id", "score"), "lexical-hits")
+            out = found if out is None else out.unionByName(found)
+        return out
+    finally:
+        spark.conf.set(_BATCH, held)
 
 
 def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
