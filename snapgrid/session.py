@@ -41,7 +41,14 @@ def located(path: str) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the cluster's shared checkpoint folder, or below the warehouse where none is set.
 
-    Both are shared by driver and executors; a machine's temporary folder is never taken.
+    Both are to be shared by driver and executors; a machine's temporary folder is never taken, and on a cluster neither is
+    a warehouse in a machine's own file system.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        master = spark.conf.get("spark.master", "local")
+        alone = master == "local" or master.startswith("local[")
+        if not alone and (base.startswith("file:") or "://" not in base):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; {base} lies on one machine")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

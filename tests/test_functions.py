@@ -13,6 +13,7 @@ from snapgrid.functions.feed import stamp_of, type_count
 from snapgrid.functions.numbers import percent, round_to
 from snapgrid.functions.quantiles import exact_quantiles, upper_second
 from snapgrid.functions.time import bucket, from_micros, minute_number, local_hour, micros
+from snapgrid.session import scratch_dir
 
 TIMES = ["1969-12-31 23:59:59.999999", "1999-12-31 23:50:00", "2000-01-03 00:00:00", "2024-01-01 00:00:00.000001",
          "2024-03-10 02:30:00", "2024-03-31 01:30:00", "2024-10-27 00:59:59.5", "2024-10-27 01:10:00"]
@@ -116,3 +117,20 @@ def test_upper_second_decides_whole_second_limits(spark):
     assert got == sorted(got)
     assert [g > 0 for g in got] == [False, False, False, True, True, True, True]
     assert [g > 1 for g in got] == [False] * 6 + [True]
+
+
+def test_scratch_data_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({key.replace("_", "."): value for key, value in conf.items()})
+
+    assert scratch_dir(Session(spark_checkpoint_dir="hdfs://x/c/", spark_master="yarn"), "a").startswith("hdfs://x/c/a-")
+    shared = Session(**{"spark_sql_warehouse_dir": "s3a://x/w", "spark_master": "yarn"})
+    assert scratch_dir(shared, "a").startswith("s3a://x/w/scratch/a-") and scratch_dir(shared, "a") != scratch_dir(shared, "a")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch_dir(Session(spark_sql_warehouse_dir="file:/tmp/w", spark_master=master), "a")
