@@ -3,7 +3,8 @@
 A source's documents all deserve target / size copies.  The whole part is granted; the fractions are rounded together:
 two documents of one source meet, and a random amount of their common mass (in words) moves from one to the other until
 one of them is settled at 0 or 1.  The other stays in play.  A source's words therefore stay what they were but for the
-last document in play, which is rounded to the nearer side.  Meetings form a tree: groups of about ``FAN`` documents of a
+last document in play, which is rounded to the nearer side; some small documents then change sides for what that adds or
+takes away, as near as their sizes come to it.  Meetings form a tree: groups of about ``FAN`` documents of a
 source fold in parallel, and what each leaves over (one document at most) meets ``FAN`` others on the next level, so
 a hot source is only a wider tree.  Randomness comes from hashes of the documents, so reruns agree.
 
@@ -26,6 +27,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 FAN = 64
 SEED = 20_240
+POOL = 128
 _EPS = 1e-9
 
 
@@ -91,6 +93,36 @@ def _fold(items: DataFrame) -> DataFrame:
     return listed.select("source", "group", F.aggregate(F.slice("all", 2, F.size("all")), start, _meet).alias("end"))
 
 
+def _evened(ups: DataFrame, lacking: DataFrame) -> DataFrame:
+    """The settled documents (source, key, up), of which a few small ones change sides to make up for what each source ``lacks``.
+
+    The last document of a source can be large, and rounding it leaves half its size at most.  That much, or too much, is
+    taken from documents of fitting sizes and from the smallest, ``POOL`` of each, largest first.
+    """
+    gap = F.abs("lacks")
+    fit = ups.join(lacking.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).where(
+        (F.col("up") == F.when(F.col("lacks") > 0, 0).otherwise(1)) & (F.col("key.size") <= gap) & (F.col("key.size") > 0))
+
+    def nearest(*order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("source").orderBy(*order, _uniform(F.col("key"))))
+        return fit.withColumn("place", place).where(F.col("place") <= POOL).select("source", "key", "lacks")
+
+    pool = nearest(F.abs(F.col("key.size") - gap / 16)).union(nearest(F.col("key.size"))).distinct()
+    listed = pool.groupBy("source").agg(
+        F.max(gap).alias("gap"), F.sort_array(F.collect_list(F.struct(F.col("key.size").alias("size"), "key")), asc=False).alias("all"))
+    none = F.transform(F.filter("all", lambda x: F.lit(False)), lambda x: x["key"])
+
+    def take(state: Column, x: Column) -> Column:
+        fits = x["size"] <= state["left"]
+        return F.struct(F.when(fits, state["left"] - x["size"]).otherwise(state["left"]).alias("left"),
+                        F.when(fits, F.array_append(state["keys"], x["key"])).otherwise(state["keys"]).alias("keys"))
+
+    chosen = F.aggregate("all", F.struct(F.col("gap").alias("left"), none.alias("keys")), take, lambda state: state["keys"])
+    changed = listed.select(F.col("source").alias("of"), F.explode(chosen).alias("whose"))
+    met = ups.join(changed, F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("whose")), "left")
+    return met.select("source", "key", F.when(F.col("whose").isNull(), F.col("up")).otherwise(1 - F.col("up")).alias("up"))
+
+
 def copy_numbers(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(id, source, size, n, source_size, target, copies) from (id, source, size).
 
@@ -119,10 +151,11 @@ def copy_numbers(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: flo
         folded = materialise(_fold(items), "mix-level")
         settled.append(folded.select("source", F.explode("end.done").alias("x")).select("source", "x.key", "x.up"))
         items = folded.select("source", F.floor(F.col("group") / FAN).alias("group"), "end.live.key", "end.live.size", "end.live.p")
-    settled.append(items.select("source", "key", (F.col("p") >= 0.5).cast("int").alias("up")))
-    ups = settled[0]
-    for more in settled[1:]:
+    last = items.select("source", "key", "size", "p", (F.col("p") >= 0.5).cast("int").alias("up"))
+    ups = last.select("source", "key", "up")
+    for more in settled:
         ups = ups.unionByName(more)
+    ups = _evened(materialise(ups, "mix-ups"), last.select("source", (F.col("size") * (F.col("p") - F.col("up"))).alias("lacks")))
     ups = ups.select(F.col("source").alias("of"), F.col("key").alias("whose"), "up")
     met = docs.withColumn("key", key).join(
         ups, F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("whose")), "left")
