@@ -7,8 +7,8 @@ ordered list of identifiers, and only these short lists are grouped and joined;
 de-duplicated, to be verified.
 
 Defined cases: NULL is the empty text, whose list is empty; texts of spaces only equal it; among equal texts the row
-with most code points, then the smallest id stays, an id before none; rows equal in id and length share the flag, being
-the same document; an empty table gives no rows; further columns are not read.
+with most code points, then the smallest id stays, an id before none, and one only where rows agree in both; ids may be of any
+type that has an order; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from snapgrid.llm.common import SPACE, materialise, sha256_hex, table, text_or_empty
 
 SHORTEST, LONGEST = 256, 4096
+SALTS = 16
 
 # A cut stands before two characters of the first set and one of the second.  Each set holds about a quarter of
 # frequent Latin letters, and above them blocks of 256 in every 1,024 code points of the basic plane.
@@ -71,13 +72,17 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row."""
-    listed = materialise(recipes(docs, id_col, text_col, **more), "recipes")
-    # ~id falls as the id grows, so the greatest pair is the longest text's smallest id; NULL comes last
-    best = F.max(F.struct(F.col("n_chars"), F.bitwise_not(F.col("id")).alias("turned"), F.col("id"))).alias("best")
-    groups = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), best)
-    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == F.col("best.n_chars"))
-    return listed.join(groups, "recipe").select(
-        "id", F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    listed = recipes(docs, id_col, text_col, **more).withColumn("row", F.monotonically_increasing_id())
+    listed = materialise(listed, "recipes")  # from here on a row's number is fixed
+    place = F.struct((-F.col("n_chars")).alias("shorter"), F.col("id").isNull().alias("none"), "id", "row")
+    groups = listed.groupBy("recipe").agg(F.count("*").alias("size"), F.min(place).alias("best")).where("size > 1")
+    # a group meets its rows in SALTS places, so that the copies of one text are not one task's
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = listed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["recipe", "salt"], "left")
+    alone = F.col("size").isNull()
+    return met.select("id", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+                      F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+                      (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "text_sha256")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
