@@ -106,10 +106,6 @@ def _sized(members: DataFrame) -> DataFrame:
 
 def leaves(sets: DataFrame, runs: int) -> DataFrame:
     """(node, set, n): members of all leaves, from (set, sketch).  A leaf of over SMALL sets is one that does not divide."""
-    small = sets.limit(SMALL + 1).count() <= SMALL
-    if small:
-        n = sets.count()
-        return sets.select(F.lit(0).cast("long").alias("node"), "set", F.lit(n).cast("long").alias("n"))
     positions = [F.struct(F.lit(run).alias("run"), F.lit((run * PICKS + pick) % SKETCH).alias("position"))
                  for run in range(runs) for pick in range(PICKS)]
     first = sets.select("set", "sketch", F.explode(F.array(*positions)).alias("at"))
