@@ -265,4 +265,25 @@ def test_bounds_leave_out_absent_columns(spark):
 def test_preview_is_cut(spark):
     df = spark.createDataFrame([("x" * 50, [1, 2])] * 5, "a string, b array<int>")
     rows = profile.preview(df).collect()
-    assert len(rows) == 3 and rows[0].a == "x" * 34 and rows[0].b == "[1,2]"
+    assert len(rows) == 3 and rows[0].a == "x" * 34 and rows[0].b == "[1, 2]"
+
+
+def test_nested_values_as_text(spark):
+    kind = "s struct<`a b`:int,c:string,d:array<struct<e:double,f:boolean>>>, m map<string,date>, n array<int>, z string"
+    rows = [((1, "plain x", [(1.5, True), None, (None, False)]), {"k": None}, [], "it's"), ((None, "it's, \\ x", None), None, None, None),
+            (None, {}, [None, 2], ""), ((2, "", []), {"a=b": dt.date(2024, 1, 2)}, [3], "{x}"), ((3, "NULL", []), {" k": None}, [4], " ")]
+    found = [tuple(r) for r in profile.preview(spark.createDataFrame(rows, kind), 9, 1000).collect()]
+    assert found == [
+        ("{'a b': 1, 'c': plain x, 'd': [{'e': 1.5, 'f': true}, NULL, {'e': NULL, 'f': false}]}", "{k=NULL}", "[]", "it's"),
+        ("{'a b': NULL, 'c': 'it\\'s, \\\\ x', 'd': NULL}", None, None, None), (None, "{}", "[NULL, 2]", ""),
+        ("{'a b': 2, 'c': '', 'd': []}", "{'a=b'=2024-01-02}", "[3]", "{x}"), ("{'a b': 3, 'c': 'NULL', 'd': []}", "{' k'=NULL}", "[4]", " ")]
+
+
+def test_bounds_by_what_is_there(spark, make_status):
+    status = make_status([status_row(1, "2024-01-01 10:00:00", 5), status_row(1, "2024-01-01 10:00:00", 5), status_row(None, None, 5)])
+    assert profile.bounds(status).first().asDict() == {"n_lignes": 3, "debut": at("2024-01-01 10:00:00"), "fin": at("2024-01-01 10:00:00"),
+                                                       "n_runs": 1, "n_stations": 1}
+    assert profile.bounds(status.select("station_id")).first().asDict() == {"n_lignes": 3, "n_stations": 1}
+    assert profile.bounds(status.select("fetched_at")).first()["n_runs"] == 1
+    assert profile.bounds(status.select("ebike")).first().asDict() == {"n_lignes": 3}
+    assert profile.bounds(status.limit(0)).first().asDict() == {"n_lignes": 0, "debut": None, "fin": None, "n_runs": 0, "n_stations": 0}
