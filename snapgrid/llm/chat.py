@@ -144,16 +144,25 @@ def _read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "formatted_chars": [len(text) for text in frame["formatted"]]})
 
 
-def op9_chat(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+def with_probe(rows: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, ...) of all conversations and of a probe, conversation -1, whose texts are control strings.
+
+    The probe is a conversation of its own, also beside one that has its number.
+    """
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    stored = materialise(conversations(threads(rows.unionByName(probe))), "chats")
-    return stored.select(F.col("tree").alias("conv_id"), "formatted", "loss").mapInPandas(
+    own = rows.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = rows.sparkSession.createDataFrame([("probe", 0, "user", said), ("probe", 1, "assistant", said)], own.schema)
+    stored = materialise(conversations(threads(own.unionByName(probe))), "chats")
+    number = F.when(F.col("tree") == "probe", F.lit(-1)).otherwise(F.col("tree").cast("long"))
+    return stored.select(number.alias("conv_id"), "formatted", "loss").mapInPandas(
         _read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
                     "formatted_chars bigint")
 
 
+def op9_chat(spark, sf_dir: str) -> DataFrame:
+    return with_probe(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 OP9_SQL = """
 WITH said AS (
   SELECT conv_id, turn, role, text FROM conversations

@@ -82,3 +82,10 @@ def test_query_like_the_table(spark):
         loss = "".join(text for role, text in mine if role == "assistant")
         assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(mine), len(loss), sha(loss))
         assert r["turns_sha256"] == sha("".join(f"{role}\n{text}\n" for role, text in mine))
+
+
+def test_the_probe_stands_beside_a_conversation_of_its_number(spark):
+    rows = [(-1, 0, "user", "a"), (-1, 1, "assistant", "b"), (-1, 2, "user", "c"), (None, 0, "user", None), (3, 0, "assistant", "x")]
+    got = chat.with_probe(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["loss_chars"]) for r in got) == [
+        ("-1", 2, 21), ("-1", 3, 1), ("3", 1, 1), ("None", 1, 0)]
