@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgrid.functions.time import MINUTE, micros
+from snapgrid.functions.time import MINUTE, from_micros, minute_number
 from snapgrid.operators.baseline import horizon_cells
 from snapgrid.operators.timegrid import grid_bounds
 
@@ -43,10 +43,12 @@ def grid_holes(status: DataFrame, grid: DataFrame, step_min: int = 15) -> DataFr
     step of the history; so neither a repeated cell nor a foreign one hides a hole.  The wanted cells are never built:
     every station wants as many as there are steps.
     """
-    bounds = F.broadcast(grid_bounds(status, step_min))  # one row
-    offset, width = micros("ts") - F.col("t0"), F.lit(step_min * MINUTE)
-    on_step = (F.pmod(offset, width) == 0) & (offset >= 0) & (offset < F.col("n_steps") * width)
-    held = held_steps(grid.crossJoin(bounds), F.when(on_step, (offset / width).cast("bigint")))
+    bounds = grid_bounds(status, step_min).withColumn("start", (F.col("t0") / MINUTE).cast("bigint"))  # a full hour
+    bounds = F.broadcast(bounds)  # one row
+    offset, width = minute_number("ts") - F.col("start"), F.lit(step_min)
+    whole = F.extract(F.lit("SECOND"), F.col("ts")) == 0
+    on_step = whole & (F.pmod(offset, width) == 0) & (offset >= 0) & (offset < F.col("n_steps") * width)
+    held = held_steps(grid.crossJoin(bounds), F.when(on_step, F.floor(offset / width)))
     stations = status.select("station_id").distinct()
     return (
         stations.join(held, F.col("station_id").eqNullSafe(F.col("key")), "left").crossJoin(bounds)
@@ -56,9 +58,9 @@ def grid_holes(status: DataFrame, grid: DataFrame, step_min: int = 15) -> DataFr
 
 def late_targets(status: DataFrame, target: DataFrame, step_min: int = 15, horizon_min: int = 60) -> DataFrame:
     """Number of rows of ``target``, ``(ts, y)``, with a later value where the history has ended by then."""
-    bounds = F.broadcast(grid_bounds(status, step_min))  # one row
     open_from = F.col("t0") + (F.col("n_steps") - horizon_cells(step_min, horizon_min)) * F.lit(step_min * MINUTE)
-    late = (micros("ts") >= open_from) & F.col("y").isNotNull()
+    bounds = F.broadcast(grid_bounds(status, step_min).select(from_micros(open_from).alias("open_from")))  # one row
+    late = (F.col("ts") >= F.col("open_from")) & F.col("y").isNotNull()
     return target.crossJoin(bounds).agg(F.count_if(late).alias("n_violations"))
 
 
