@@ -20,6 +20,9 @@ from snapgrid.operators.timegrid import aligned, fill_cells
 
 BUCKETS = 64
 
+# Stations in a bucket when a table is made: one task sorts all cells of a bucket, about 3 million a month at steps of 15 minutes.
+STATIONS = 1000
+
 
 class BehindTheGrid(ValueError):
     """Rows lie before the stored end; they need the days from theirs on to be made again."""
@@ -27,7 +30,10 @@ class BehindTheGrid(ValueError):
 
 @dataclass(frozen=True)
 class GridStore:
-    """A stored grid: the tables ``name`` (cells), ``name_stations`` and ``name_span`` (one row)."""
+    """A stored grid: the tables ``name`` (cells), ``name_stations`` and ``name_span`` (one row).
+
+    ``buckets`` is the least number of buckets.  The first append makes more of them for more than ``STATIONS`` stations each.
+    """
 
     spark: SparkSession
     name: str
@@ -41,6 +47,14 @@ class GridStore:
         row = self.spark.table(f"{self.name}_span").agg(F.min("first").alias("first"), F.max("last").alias("last")).first()
         return row["first"], row["last"]
 
+    def n_buckets(self, stations: int) -> int:
+        """The buckets that the table has, or is to be made with for so many stations."""
+        if self.spark.catalog.tableExists(self.name):
+            told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+            return int(told["data_type"])
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        return max(self.buckets, min(-(-stations // STATIONS), most))
+
     def append(self, status: DataFrame, value: str = "num_bikes_available") -> None:
         """Add the cells up to the last of these observations, which are all those since the stored end.
 
@@ -49,7 +63,8 @@ class GridStore:
         if not aligned(self.step_min):
             raise ValueError("a stored grid needs a step that divides the hour")
         width, held = self.step_min * MINUTE, self.span()
-        seen = status.agg(F.min(micros("fetched_at")).alias("low"), F.max(micros("fetched_at")).alias("high")).first()
+        seen = status.agg(F.min(micros("fetched_at")).alias("low"), F.max(micros("fetched_at")).alias("high"),
+                          F.approx_count_distinct("station_id").alias("stations")).first()
         if seen["low"] is None:
             raise ValueError("no row has a time")
         start = held[1] + width if held else seen["low"] - seen["low"] % HOUR
@@ -70,8 +85,9 @@ class GridStore:
             before = F.explode(F.sequence(F.lit(held[0]), F.lit(held[1]), F.lit(width)))
             cells = cells.unionByName(fresh.select("station_id", before.alias("us")).select(
                 "station_id", from_micros("us").alias("ts"), F.lit(None).cast("int").alias("n_bikes")))
-        (cells.withColumn("date", F.to_date("ts")).repartition(self.buckets, "station_id").write.mode("append").partitionBy("date")
-         .bucketBy(self.buckets, "station_id").sortBy("station_id", "ts").saveAsTable(self.name))
+        buckets = self.n_buckets(seen["stations"])
+        (cells.withColumn("date", F.to_date("ts")).repartition(buckets, "station_id").write.mode("append").partitionBy("date")
+         .bucketBy(buckets, "station_id").sortBy("station_id", "ts").saveAsTable(self.name))
         fresh.write.mode("append").saveAsTable(f"{self.name}_stations")
         span = [(held[0] if held else start, start + (steps - 1) * width)]
         self.spark.createDataFrame(span, "first bigint, last bigint").coalesce(1).write.mode("append").saveAsTable(f"{self.name}_span")

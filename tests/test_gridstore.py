@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of, status_row
-from snapgrid.operators import baseline, timegrid
+from snapgrid.operators import baseline, gridstore, timegrid
 from snapgrid.operators.gridstore import BehindTheGrid, GridStore
 
 
@@ -37,6 +37,20 @@ def test_the_target_needs_no_exchange(spark, history):
     assert "Window" in plan and "Exchange" not in plan and "Bucketed: true" in plan
 
 
+def test_buckets_follow_the_stations(spark, history, monkeypatch):
+    monkeypatch.setattr(gridstore, "STATIONS", 2)
+    store = GridStore(spark, f"g_{uuid.uuid4().hex}", buckets=2)
+    cut = F.lit("2024-01-03").cast("timestamp_ntz")
+    store.append(history.where(F.col("fetched_at") < cut))
+    made = store.n_buckets(0)
+    store.append(history.where(F.col("fetched_at") >= cut))  # goes to the buckets that are there
+    assert made > 2 and store.n_buckets(10**9) == made
+    assert rows_of(store.cells()) == rows_of(timegrid.grid(history))
+    assert rows_of(store.target()) == rows_of(baseline.target(history))
+    plan = store.target()._jdf.queryExecution().executedPlan().toString()
+    assert f"{made} out of {made}" in plan and "Exchange" not in plan
+
+
 def test_what_has_no_grid_is_refused(spark, make_status, history):
     with pytest.raises(ValueError):
         GridStore(spark, "never", 25).append(history)
