@@ -18,10 +18,14 @@ def stamp_of(path: Column | str, strict: bool = True) -> Column:
     path = F.col(path) if isinstance(path, str) else path
     text = F.nullif(F.regexp_extract(path, STAMP_PATTERN, 1), F.lit(""))
     parsed = F.try_to_timestamp(text, F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
-    if not strict:
-        return parsed
+    return stamped(parsed, path) if strict else parsed
+
+
+def stamped(stamp: Column | str, path: Column | str) -> Column:
+    """The stamp found in a path; one that is NULL fails the job."""
+    stamp, path = (F.col(c) if isinstance(c, str) else c for c in (stamp, path))
     message = F.concat(F.lit("no collection stamp in file name: "), path)
-    return F.when(parsed.isNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(parsed)
+    return F.when(stamp.isNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(stamp)
 
 
 def type_count(types: Column | str, kind: str, merge: str = "first", default: int | None = 0) -> Column:

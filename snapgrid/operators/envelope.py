@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapgrid.functions.feed import stamp_of, type_count
+from snapgrid.functions.feed import stamp_of, stamped, type_count
 from snapgrid.schema import STATUS, cast_to, to_ntz
 
 KINDS = ("mechanical", "ebike")
 
+# The column that holds an envelope's stamp until its stations are rows.
+STAMP = "_stamp"
+
 
 def stations_path(schema: T.StructType) -> str | None:
     """Where the station list sits: ``data.stations``, ``stations`` or None when already flat."""
@@ -57,11 +60,19 @@ def flat_status(df: DataFrame, on_bad_stamp: str = "fail") -> DataFrame:
     so that :func:`snapgrid.sources.convert.convert` can set the rows aside.
     """
     keep = ["filename"] if "filename" in df.columns else []
+    if keep and stations_path(df.schema):
+        # read once per envelope; an envelope that lists nothing needs no stamp
+        df, keep = df.withColumn(STAMP, stamp_of("filename", strict=False)), [*keep, STAMP]
     rows = split_types(flatten_envelope(df, keep), "first", 0)
     have = {f.name: f.dataType for f in rows.schema.fields}
 
-    fetched = to_ntz(F.col("fetched_at"), have["fetched_at"]) if "fetched_at" in have \
-        else stamp_of("filename", strict=on_bad_stamp == "fail")
+    strict = on_bad_stamp == "fail"
+    if "fetched_at" in have:
+        fetched = to_ntz(F.col("fetched_at"), have["fetched_at"])
+    elif STAMP in have:
+        fetched = stamped(STAMP, "filename") if strict else F.col(STAMP)
+    else:
+        fetched = stamp_of("filename", strict=strict)
     columns = []
     for field in STATUS.fields:
         if field.name == "fetched_at":
@@ -92,6 +103,7 @@ def landed_rows(df: DataFrame, ingested_at=None) -> DataFrame:
     updates = [F.nullif(F.col(c), F.lit(0)) for c in ("lastUpdatedOther",) if c in names]
     updates += [F.col(c) for c in ("last_updated",) if c in names]
     feed = F.coalesce(*updates) if updates else F.lit(None).cast("bigint")
-    instant = stamp_of("filename") if ingested_at is None else ingested_at
-    rows = df.select(F.inline(F.col(path)), instant.alias("ingested_at"), feed.alias("feed_last_updated"))
+    if ingested_at is None:
+        df, ingested_at = df.withColumn(STAMP, stamp_of("filename", strict=False)), stamped(STAMP, "filename")
+    rows = df.select(F.inline(F.col(path)), ingested_at.alias("ingested_at"), feed.alias("feed_last_updated"))
     return split_types(rows, "last", None)

@@ -46,11 +46,15 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standin.envelopes(configure(spark), sf_dir).select(name, "last_updated", "lastUpdatedOther", "data")
 
 
-def _landing(spark: SparkSession, sf_dir: str) -> str:
-    """Envelopes written as JSON lines below ``status``, in a folder per date and run stamp."""
+# Fixed value: envelopes in a landed file that a stream reads whole, so that none grows with the data.
+FILE_SIZE = 32
+
+
+def _landing(spark: SparkSession, sf_dir: str, file_size: int = 0) -> str:
+    """Envelopes written as JSON lines below ``status``, in a folder per date and run stamp, at most ``file_size`` in a file."""
     root = scratch_dir(spark, "landing")
     (standin.envelopes(configure(spark), sf_dir).hint("rebalance", "stamp")
-     .write.partitionBy("date", "stamp").json(f"{root}/status"))
+     .write.option("maxRecordsPerFile", file_size).partitionBy("date", "stamp").json(f"{root}/status"))
     return root
 
 
@@ -118,7 +122,7 @@ def _convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landing, dest = _landing(spark, sf_dir), scratch_dir(spark, "stream")
+    landing, dest = _landing(spark, sf_dir, FILE_SIZE), scratch_dir(spark, "stream")
     checkpoint = scratch_dir(spark, "checkpoint")
     # the second run finds nothing new
     for _ in range(2):
@@ -131,7 +135,7 @@ def _repeated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, dest, checkpoint = scratch_dir(spark, "landing"), scratch_dir(spark, "stream"), scratch_dir(spark, "checkpoint")
     envelopes = standin.envelopes(configure(spark), sf_dir).hint("rebalance", "stamp")
     for folder, part in (("a", "day(date) % 2 = 0"), ("b", "day(date) % 3 <> 0"), ("c", "true")):
-        envelopes.where(part).write.partitionBy("date", "stamp").json(f"{landing}/{folder}")
+        envelopes.where(part).write.option("maxRecordsPerFile", FILE_SIZE).partitionBy("date", "stamp").json(f"{landing}/{folder}")
         ingest_stream(spark, landing, dest, checkpoint).awaitTermination()
     return spark.read.parquet(dest)
 

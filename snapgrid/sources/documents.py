@@ -11,6 +11,8 @@ many lines are better read with ``multiline=False``, in pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,15 @@ _BLANK = " \t\r\n﻿"
 _OPTIONS = {"mode": "FAILFAST"}
 
 
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is worked out once, however often ``result`` names it."""
+    return F.transform(F.array(value), result)[0]
+
+
 def _in_string(text: Column) -> Column:
     """Whether a piece of JSON that begins outside a string ends in one: by its quotes without the escaped ones."""
-    plain = F.regexp_replace(text, r"\\.", "")
-    return (F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))) % 2 == 1
+    plain = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\.", "")).otherwise(text)
+    return _let(plain, lambda held: (F.octet_length(held) - F.octet_length(F.replace(held, F.lit('"'), F.lit("")))) % 2 == 1)
 
 
 def _rejoined(pieces: Column) -> Column:
@@ -45,8 +52,7 @@ def _rejoined(pieces: Column) -> Column:
 
 def documents(text: Column) -> Column:
     """The JSON documents of a text, in order, as an array of texts."""
-    pieces = F.split(text, _BORDER)
-    whole = F.when(F.exists(pieces, _in_string), _rejoined(pieces)).otherwise(pieces)
+    whole = _let(F.split(text, _BORDER), lambda pieces: F.when(F.exists(pieces, _in_string), _rejoined(pieces)).otherwise(pieces))
     return F.filter(F.transform(whole, lambda one: F.trim(one, F.lit(_BLANK))), lambda one: one != "")
 
 

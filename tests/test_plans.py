@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF_DIR, status_row
+from snapgrid.operators.envelope import flat_status, landed_rows
 from snapgrid.plans.audit import AGREE, BAD, DIVERGE, GOOD, LIMITS, WATCH, audit, verdicts
-from snapgrid.plans.workload import QUERIES
+from snapgrid.plans.workload import QUERIES, _landing
+from snapgrid.schema import ENVELOPE
+from snapgrid.sources.documents import documents
 
 WRITES_FIRST = {"convert_roundtrip", "stream_ingest", "stream_repeated", "land_two_runs", "dq_checks",
                 "csv_json_roundtrip", "union_by_name", "union_by_name_wide", "json_multiline_inferred", "csv_inferred",
@@ -104,3 +109,31 @@ def test_audit_of_a_single_run_without_reference(spark, make_status):
     assert "depasse_capacite" not in found and "accord" not in found
     assert found["cases"] == (1.0, None) and found["pct_remplies"] == (100.0, GOOD)
     assert found["mae"] == (None, None)
+
+
+@pytest.mark.parametrize("rows", [flat_status, landed_rows])
+def test_a_stamp_is_read_once_per_envelope(spark, rows):
+    schema = T.StructType([*ENVELOPE.fields, T.StructField("filename", T.StringType())])
+    listed = {"stations": [{"station_id": 1}, {"station_id": 2}]}
+    made = [(1, 0, listed, "a/20240101T000000Z.json"), (1, 0, {"stations": []}, "unstamped")]  # what lists nothing needs no stamp
+    found = rows(spark.createDataFrame(made, schema).repartition(1))
+    above = plan_of(found).split("Generate inline")[0]
+    assert "regexp_extract" not in above and "Generate inline" in plan_of(found)
+    assert found.count() == len(found.collect()) == 2
+    with pytest.raises(Exception, match="no collection stamp"):
+        rows(spark.createDataFrame([(1, 0, listed, "unstamped")], schema)).collect()
+
+
+def test_a_text_is_cut_once(spark):
+    found = spark.createDataFrame([('{"a": "x} {\\" y"}\n{"b": 1} [2]',)], "t string").repartition(1).select(documents(F.col("t")).alias("d"))
+    assert plan_of(found).count("split(t#") == 1
+    assert found.first()["d"] == ['{"a": "x} {\\" y"}', '{"b": 1}', "[2]"]
+
+
+def test_files_of_the_stream_are_bounded(spark, tmp_path):
+    ts = F.expr("timestamp_ntz '2024-01-01 00:00:00'") + F.expr("INTERVAL '10' SECOND") * F.col("id")
+    (spark.range(4000).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("view").alias("event_type"),
+                              F.lit(100.0).alias("value"), F.lit('{"k": 3}').alias("props")).write.parquet(str(tmp_path / "events.parquet")))
+    root = _landing(spark, str(tmp_path), 2)
+    files = spark.read.option("recursiveFileLookup", True).text(f"{root}/status").groupBy(F.input_file_name()).count().collect()
+    assert sum(row["count"] for row in files) == 8 and max(row["count"] for row in files) == 2
